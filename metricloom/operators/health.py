@@ -120,3 +120,24 @@ def slot_totals(tasks: DataFrame, category: str) -> DataFrame:
     return tasks.groupBy(category).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(busy).alias("used"), F.count_if(~busy).alias("idle")
     )
+
+
+def late_rows(rows: DataFrame, ts: str, batch: str, delay_us: int) -> DataFrame:
+    """Add ``thrown_away``: older than the watermark its arrival batch started with.
+
+    The watermark of a batch is the newest event time of all earlier batches minus the delay,
+    as a streaming query sets it. It is computed over one row per batch.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    newest = rows.groupBy(batch).agg(F.max(micros).alias("__newest"))
+    earlier = W.orderBy(batch).rowsBetween(W.unboundedPreceding, -1)
+    marks = newest.select(batch, (F.max("__newest").over(earlier) - delay_us).alias("__mark"))
+    late = F.coalesce(micros < F.col("__mark"), F.lit(False))
+    return rows.join(marks, batch).withColumn("thrown_away", late).drop("__mark")
+
+
+def by_priority(tiers: DataFrame, priority: str, ties: list[str]) -> DataFrame:
+    """Highest priority first, a missing one counts as 0; ``tiers`` is one row per tier."""
+    ranked = tiers.withColumn(priority, F.coalesce(priority, F.lit(0)))
+    order = W.orderBy(F.desc(priority), *ties)
+    return ranked.withColumn("position", F.row_number().over(order).cast("bigint")).orderBy("position")

@@ -11,13 +11,18 @@ BUILT_IN = ("parquet", "orc", "json", "csv", "text")
 # readers that come as separate Spark packages
 PACKAGED = {"avro": "spark-avro", "kafka": "spark-sql-kafka", "kinesis": "spark-sql-kinesis"}
 
+# text formats cut to milliseconds unless told otherwise
+TEXT_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 EVENT_SCHEMA = (
     "event_id bigint, kind string, ts timestamp_ntz, service string, host string, metric string, "
     f"value double, severity string, description string, dims {RAW_DIMS}"
 )
 
 
-def read_table(spark: SparkSession, path: str, format: str = "parquet", schema: str | None = None,
+def read_table(spark: SparkSession, path: str, format: str = "parquet", schema=None,
                **options) -> DataFrame:
     """Any built-in or packaged format at any Hadoop file-system address (hdfs://, s3a://, file:/)."""
     reader = spark.read.format(format).options(**options)
@@ -33,7 +38,8 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet", schema:
 
 def write_table(df: DataFrame, path: str, format: str = "parquet", partition: list[str] | None = None,
                 **options) -> None:
-    writer = df.write.format(format).options(**options)
+    exact = TEXT_TIMES if format in ("json", "csv") else {}
+    writer = df.write.format(format).options(**{**exact, **options})
     (writer.partitionBy(*partition) if partition else writer).save(path)
 
 
