@@ -1,4 +1,9 @@
-"""Regular-expression log parsers as struct columns; unmatched lines give null."""
+"""Log line parsers.
+
+A parser turns a line into an array of one struct, or an empty one where the line does not
+match. ``inline`` then yields the fields while evaluating every pattern once per line; a struct
+column filtered afterwards would repeat them in the filter and in each field.
+"""
 
 from __future__ import annotations
 
@@ -23,12 +28,22 @@ SYSLOG_TIME = "yyyy MMM d HH:mm:ss"
 
 
 def _parse(line: Column, pattern: str, names: dict[str, int]) -> Column:
-    fields = [F.regexp_extract(line, pattern, group).alias(name) for name, group in names.items()]
-    return F.when(line.rlike(pattern), F.struct(*fields))
+    fields = F.struct(*[F.regexp_extract(line, pattern, group).alias(name) for name, group in names.items()])
+    none = F.array().cast(f"array<struct<{','.join(f'{name}:string' for name in names)}>>")
+    return F.when(line.rlike(pattern), F.array(fields)).otherwise(none)
 
 
 def parse_cri(line: Column) -> Column:
-    return _parse(line, CRI, {"time": 1, "stream": 2, "logtag": 3, "log": 4})
+    """Time, stream, partial flag and body, the four space-separated parts of ``CRI``.
+
+    Split in one pass; the body keeps its own spaces.
+    """
+    parts = F.filter(
+        F.array(F.split(line, " ", 4)),
+        lambda w: (F.size(w) == 4) & (w[0] != "") & w[1].isin("stdout", "stderr") & w[2].isin("P", "F"),
+    )
+    return F.transform(parts, lambda w: F.struct(
+        w[0].alias("time"), w[1].alias("stream"), w[2].alias("logtag"), w[3].alias("log")))
 
 
 def cri_time(text: Column) -> Column:

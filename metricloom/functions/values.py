@@ -40,12 +40,12 @@ def breaches(value: Column, compare: str, threshold) -> Column:
 
 def step_change(value: Column, steps) -> Column:
     """Capacity change of the ``[lower, upper)`` step holding ``value``; 0 outside all steps."""
-    change = F.lit(0)
-    for lower, upper, amount in reversed(list(steps)):
+    change = F
+    for lower, upper, amount in steps:
         inside = F.lit(True)
         if lower is not None:
             inside &= value >= F.lit(lower)
         if upper is not None:
             inside &= value < F.lit(upper)
-        change = F.when(inside, F.lit(amount)).otherwise(change)
-    return change
+        change = change.when(inside, F.lit(amount))
+    return F.lit(0) if change is F else change.otherwise(0)

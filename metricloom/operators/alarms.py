@@ -26,9 +26,9 @@ def dense_grid(points: DataFrame, keys: list[str], period: str, start: str = "bu
 
 def rule_case(rules: list[AlarmRule], pick, rule: str = "alarm") -> Column:
     """The rule-specific column ``pick(rule)`` chosen by the ``alarm`` column."""
-    chosen = F.lit(None)
+    chosen = F
     for one in rules:
-        chosen = F.when(F.col(rule) == one.name, pick(one)).otherwise(chosen)
+        chosen = chosen.when(F.col(rule) == one.name, pick(one))
     return chosen
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from metricloom.operators.prefix import row_numbers, running
+from metricloom.operators.prefix import row_numbers
+from metricloom.session import settle
 
 BATCH_SIZE = 100
 QUEUE_BYTES = 100_000_000
@@ -35,27 +36,58 @@ def admit(items: DataFrame, keys: list[str], order: list[str], block: Column, si
           bound: int = QUEUE_BYTES) -> DataFrame:
     """Add ``admitted``: an item enters iff used + size <= bound, a rejected one uses nothing.
 
-    ``order`` is unique within ``keys``; its last column alone identifies a row within ``keys``.
-    Until the first rejection the used bytes are a plain running sum. From then on the free
-    space ``r`` only shrinks, so of the items of one size ``s`` just the first ``floor(r / s)``
-    can still enter. Those few candidates are folded in order; every other item is decided
-    without meeting its group.
+    ``order`` is unique within ``keys`` and its last column alone identifies a row there;
+    ``block`` never decreases along ``order``. Keys and order hold no nulls.
+
+    The decision is sequential, but little of it has to be taken in sequence. Up to the first
+    rejection the used bytes are a running sum, so block totals admit whole blocks unseen and
+    only the block holding the first rejection is scanned. From then on the free space ``r``
+    only shrinks, so of the later items of one size ``s`` just the first ``floor(r / s)`` can
+    still enter: those few are folded in order, and all others are out.
     """
     item = order[-1]
-    summed = running(items, keys, order, block, {"__used": F.col(size)}).withColumn("__block", block)
-    over = F.col("__used") > bound
-    first = summed.where(over).groupBy(*keys).agg(
-        (F.lit(bound) - F.min_by(F.col("__used") - F.col(size), F.struct(*order))).alias("__free")
+    rows = items.withColumn("__block", block)
+    earlier = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "__block").agg(F.sum(size).alias("__total")).withColumn(
+        "__before", F.coalesce(F.sum("__total").over(earlier), F.lit(0)))
+    full = settle(totals.where(F.col("__before") + F.col("__total") > bound), "full-blocks")
+    if full.isEmpty():
+        return items.withColumn("admitted", F.lit(True))
+
+    # the one block per key the first rejection lies in
+    inside = W.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    crossing = rows.join(full.where(F.col("__before") <= bound), [*keys, "__block"]).withColumn(
+        "__used", F.col("__before") + F.sum(size).over(inside))
+    place = F.struct(*order)
+    first = settle(crossing.where(F.col("__used") > bound).groupBy(*keys).agg(
+        F.min(place).alias("__first"),
+        (F.lit(bound) - F.min_by(F.col("__used") - F.col(size), place)).alias("__free"),
+    ), "first-rejections")
+
+    late = rows.join(full.select(*keys, "__block"), [*keys, "__block"]).join(first, keys).where(
+        (place > F.col("__first")) & (F.col(size) > 0) & (F.col(size) <= F.col("__free")))
+    taken = settle(_fold(late, keys, order, item, size), "late-admissions")
+
+    placed = rows.join(full.select(*keys, "__block", F.lit(True).alias("__full")), [*keys, "__block"], "left")
+    decided = placed.join(first.select(*keys, "__first"), keys, "left").join(
+        taken.withColumn("__late", F.lit(True)), [*keys, item], "left")
+    enters = (
+        F.col("__full").isNull() | (F.col(size) == 0)
+        | F.coalesce(place < F.col("__first"), F.lit(True)) | F.coalesce("__late", F.lit(False))
     )
-    late = summed.where(over).join(first, keys).where((F.col(size) > 0) & (F.col(size) <= F.col("__free")))
-    per_size = F.floor(F.col("__free") / F.col(size))
+    return decided.withColumn("admitted", enters).select(*items.columns, "admitted")
+
+
+def _fold(late: DataFrame, keys: list[str], order: list[str], item: str, size: str) -> DataFrame:
+    """The late items that still fit, from the at most ``sum(free / s)`` candidates of each key."""
+    can_enter = F.floor(F.col("__free") / F.col(size))
 
     def nth(*partition) -> Column:
         return F.row_number().over(W.partitionBy(*keys, *partition).orderBy(*order))
 
     # first within a block, then over the survivors of all blocks
-    local = late.withColumn("__nth", nth(size, "__block")).where(F.col("__nth") <= per_size)
-    candidates = local.withColumn("__nth", nth(size)).where(F.col("__nth") <= per_size)
+    local = late.withColumn("__nth", nth(size, "__block")).where(F.col("__nth") <= can_enter)
+    candidates = local.withColumn("__nth", nth(size)).where(F.col("__nth") <= can_enter)
 
     def step(state, one):
         fits = one["size"] <= state["free"]
@@ -64,17 +96,13 @@ def admit(items: DataFrame, keys: list[str], order: list[str], block: Column, si
             F.when(fits, F.concat(state["taken"], F.array(one["item"]))).otherwise(state["taken"]).alias("taken"),
         )
 
-    item_type = items.schema[item].dataType.simpleString()
     listed = candidates.groupBy(*keys, "__free").agg(F.array_sort(F.collect_list(
         F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(size).alias("size"),
                  F.col(item).alias("item"))
     )).alias("__items"))
+    item_type = late.schema[item].dataType.simpleString()
     start = F.struct(F.col("__free").alias("free"), F.array().cast(f"array<{item_type}>").alias("taken"))
-    taken = listed.select(*keys, F.explode(F.aggregate("__items", start, step)["taken"]).alias(item))
-    entered = summed.join(taken.withColumn("__late", F.lit(True)), [*keys, item], "left")
-    return entered.withColumn("admitted", ~over | (F.col(size) == 0) | F.coalesce("__late", F.lit(False))).select(
-        *items.columns, "admitted"
-    )
+    return listed.select(*keys, F.explode(F.aggregate("__items", start, step)["taken"]).alias(item))
 
 
 def loss_counters(events: DataFrame, period: str = "1 minute", prefix: str = "Emitter") -> DataFrame:

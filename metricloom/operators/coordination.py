@@ -13,21 +13,21 @@ from metricloom.functions import values as V
 
 def scrape_values(lines: DataFrame, keys: list[str], order: str, column: str = "value") -> DataFrame:
     """Last value of each listed metric per scrape; blank, version and short lines are skipped."""
-    words = F.split(F.regexp_replace(F.col(column), r"\A\s+|\s+\z", ""), r"\s+")
-    named = lines.where(~F.contains(F.col(column), F.lit("zk_version"))).select(*keys, order, words.alias("words"))
-    listed = named.where(
-        (F.size("words") >= 2) & F.get("words", F.lit(0)).isin(*catalog.COORDINATION_UNITS)
-    )
-    return listed.groupBy(*keys, F.get("words", F.lit(0)).alias("metric")).agg(
-        F.max_by(F.get("words", F.lit(1)), F.col(order)).alias("text")
+    line = F.col(column)
+    words = F.split(F.regexp_replace(line, r"\A\s+", ""), r"\s+")
+    # one element or none, so every line is split once
+    listed = F.filter(
+        F.when(~F.contains(line, F.lit("zk_version")), F.array(words)),
+        lambda w: (F.size(w) >= 2) & w[0].isin(*catalog.COORDINATION_UNITS) & (w[1] != ""),
     )
+    pairs = lines.select(*keys, order, F.inline(F.transform(
+        listed, lambda w: F.struct(w[0].alias("metric"), w[1].alias("text")))))
+    return pairs.groupBy(*keys, "metric").agg(F.max_by("text", order).alias("text"))
 
 
 def _unit(metric: Column) -> Column:
-    unit = F.lit("Count")
-    for name, value in catalog.COORDINATION_UNITS.items():
-        unit = F.when(metric == name, value).otherwise(unit)
-    return unit
+    units = F.create_map(*[F.lit(x) for pair in catalog.COORDINATION_UNITS.items() for x in pair])
+    return F.coalesce(F.try_element_at(units, metric), F.lit("Count"))
 
 
 def coordination_datums(values: DataFrame, node: str, settings: EmitterSettings = EmitterSettings()) -> DataFrame:

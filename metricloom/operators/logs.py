@@ -87,10 +87,10 @@ def skip_long_lines(lines: DataFrame, column: str = "value", limit: int = LONG_L
     return lines.where(F.length(column) <= limit)
 
 
-def parsed(lines: DataFrame, parser, column: str = "value") -> DataFrame:
-    """Lines the parser matches, with its fields as columns."""
-    rows = lines.withColumn("__fields", parser(F.col(column))).where("__fields IS NOT NULL")
-    return rows.select(*lines.columns, "__fields.*")
+def parsed(lines: DataFrame, parser, column: str = "value", keep_unmatched: bool = False) -> DataFrame:
+    """The parser's fields as columns; lines it does not match are left out or get null fields."""
+    fields = parser(F.col(column))
+    return lines.select(*lines.columns, F.inline_outer(fields) if keep_unmatched else F.inline(fields))
 
 
 def merge_json_body(lines: DataFrame, column: str = "log", schema: str = "map<string,string>",
@@ -127,14 +127,11 @@ def route(lines: DataFrame, layout: LogLayout, component: Column, instance: Colu
 
     The list is short and constant, so it is one CASE expression with compiled patterns.
     """
-    at = F.col(path)
-    number = F.lit(None).cast("int")
-    stream = F.lit(None).cast("string")
-    for i, (glob, template) in reversed(list(enumerate(layout.routes(), start=1))):
-        hit = at.rlike(P.glob_pattern(glob))
+    number, stream = F, F
+    for i, (glob, template) in enumerate(layout.routes(), start=1):
+        hit = F.col(path).rlike(P.glob_pattern(glob))
         name = F.replace(F.replace(F.lit(template), F.lit("{component}"), component), F.lit("{instance}"), instance)
-        number = F.when(hit, F.lit(i)).otherwise(number)
-        stream = F.when(hit, name).otherwise(stream)
+        number, stream = number.when(hit, F.lit(i)), stream.when(hit, name)
     return lines.withColumns({
         "route_no": number,
         "log_group": F.when(number.isNotNull(), F.lit(layout.group)),

@@ -28,26 +28,27 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column, sum
     own value is left out.
     """
     names = list(sums)
-    parts = {f"__part_{n}": c for n, c in sums.items()}
-    rows = df.withColumn("__block", block).withColumns(parts)
-    group = [*keys, "__block"]
-
-    totals = rows.groupBy(*group).agg(*[F.sum(f"__part_{n}").alias(f"__total_{n}") for n in names])
-    earlier = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    # one struct column groups, sorts and joins, so the rows are shuffled once; structs also
+    # compare null keys as equal
+    rows = df.select(
+        "*", F.struct(*keys, block.alias("__block")).alias("__at"),
+        *[c.alias(f"__part_{n}") for n, c in sums.items()],
+    )
+    totals = rows.groupBy("__at").agg(*[F.sum(f"__part_{n}").alias(f"__total_{n}") for n in names])
+    earlier = W.partitionBy(*[F.col("__at")[k] for k in keys]).orderBy(F.col("__at")["__block"]).rowsBetween(
+        W.unboundedPreceding, -1)
     carry = totals.select(
-        *[F.col(k).alias(f"__key_{k}") for k in group],
+        F.col("__at").alias("__from"),
         *[F.coalesce(F.sum(f"__total_{n}").over(earlier), F.lit(0)).alias(f"__carry_{n}") for n in names],
     )
 
-    inside = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    inside = W.partitionBy("__at").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     scanned = rows.withColumns(
         {f"__in_{n}": F.coalesce(F.sum(f"__part_{n}").over(inside), F.lit(0)) for n in names}
     )
-    same = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in group]
-    joined = scanned.join(carry, same)
+    joined = scanned.join(carry, F.col("__at") == F.col("__from"))
     return joined.select(
-        *[F.col(c) for c in df.columns],
-        *[(F.col(f"__in_{n}") + F.col(f"__carry_{n}")).alias(n) for n in names],
+        *df.columns, *[(F.col(f"__in_{n}") + F.col(f"__carry_{n}")).alias(n) for n in names],
     )
 
 

@@ -51,25 +51,16 @@ def as_of_column(as_of: str) -> Column:
 def apply_retention(df: DataFrame, ts: str, rules, as_of: str, default=DEFAULT_CHAIN) -> DataFrame:
     """Add ``rule_no`` (1-based), ``action`` and ``replicants`` of the first matching rule.
 
-    The chain is one CASE expression over constant bounds: no join, no shuffle.
+    Each column is one flat CASE over constant bounds: no join, no shuffle.
     """
-    chain = [*rules, *default]
     now = as_of_column(as_of)
-    number = F.lit(None).cast("int")
-    for i, rule in reversed(list(enumerate(chain, start=1))):
-        number = F.when(rule.matches(F.col(ts), now), F.lit(i)).otherwise(number)
-    numbered = df.withColumn("rule_no", number)
-
-    def choose(pick) -> Column:
-        chosen = F.lit(None)
-        for i, rule in enumerate(chain, start=1):
-            chosen = F.when(F.col("rule_no") == i, pick(rule)).otherwise(chosen)
-        return chosen
-
-    return numbered.withColumns({
-        "action": choose(lambda r: F.lit(r.action())),
-        "replicants": choose(lambda r: _replicant_map(r)),
-    })
+    number, action, replicants = F, F, F
+    for i, rule in enumerate([*rules, *default], start=1):
+        hit = rule.matches(F.col(ts), now)
+        number = number.when(hit, F.lit(i))
+        action = action.when(hit, F.lit(rule.action()))
+        replicants = replicants.when(hit, _replicant_map(rule))
+    return df.withColumns({"rule_no": number, "action": action, "replicants": replicants})
 
 
 def _replicant_map(rule: Rule) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metricloom.catalog import EmitterSettings
+from metricloom.functions import dims as D
 from metricloom.operators import batching as B
 from metricloom.operators import normalize as N
 from metricloom.operators import olap
@@ -12,7 +13,7 @@ from metricloom.operators.prefix import time_block
 from metricloom.plans.normalise import dims_text
 from metricloom.plans.registry import query
 from metricloom.plans.views import bucket, sql
-from metricloom.session import scratch_path
+from metricloom.session import scratch_path, settle
 from metricloom.sources import tables
 
 SETTINGS = EmitterSettings()
@@ -52,15 +53,17 @@ folded AS (
 
 
 def sized(spark, folder):
-    """Datums with the UTF-8 length of their text; a padding per event spreads the sizes."""
+    """Datums with the UTF-8 length of their text; the length of the data source pads it.
+
+    Normalised once and written as narrow rows, since admission looks at them several times.
+    """
     datums = N.metric_datums(tables.metric_events(spark, folder), SETTINGS)
     body = B.datum_text([F.col("name"), F.col("unit"), dims_text()])
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    padding = tables.table(spark, folder, "events").select("event_id", (k % 5 * 60).alias("padding"))
-    return datums.join(padding, "event_id").select(
+    source = F.right(D.dim_value(F.col("dims"), "dataSource"), F.lit(1)).cast("bigint")
+    return settle(datums.select(
         "event_id", "ts", "service", F.window("ts", FLUSH)["start"].alias("flush"),
-        (F.octet_length(body) + F.col("padding")).cast("bigint").alias("size"),
-    )
+        (F.octet_length(body) + source * 60).cast("bigint").alias("size"),
+    ), "sized")
 
 
 @query("K2 T3", sql("datums dims_text", SIZED + """

@@ -92,22 +92,20 @@ def flush_datums(events: DataFrame, path: str, checkpoint: str, settings: Emitte
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        kept = batch.persist()
+        sizes = N.datums(batch, settings).withColumns({"size": size, "flush": F.window("ts", flush)["start"]})
+        datums = sizes.persist()
         try:
-            datums = N.datums(kept, settings).withColumns({
-                "size": size, "flush": F.window("ts", flush)["start"],
-            })
             admitted = B.admit(
                 datums, ["queue", "service", "flush"], ["ts", "event_id"], time_block(F.col("ts"), block),
                 bound=bound,
             ).where("admitted")
             requests = B.request_batches(admitted.drop("flush", "admitted"), flush, block, batch_size)
             requests.write.mode("overwrite").parquet(f"{path}/requests/epoch={epoch}")
-            statsd = N.statsd_rows(kept, settings).select(
+            statsd = N.statsd_rows(batch, settings).select(
                 "event_id", "metric", "rollup_kind", "value", "dims", "tags", "host_tag")
             statsd.write.mode("overwrite").parquet(f"{path}/statsd/epoch={epoch}")
         finally:
-            kept.unpersist()
+            datums.unpersist()
 
     return start_batches(events, write, checkpoint, trigger or {"processingTime": flush})
 
