@@ -126,7 +126,8 @@ def late_rows(rows: DataFrame, ts: str, batch: str, delay_us: int) -> DataFrame:
     """Add ``thrown_away``: older than the watermark its arrival batch started with.
 
     The watermark of a batch is the newest event time of all earlier batches minus the delay,
-    as a streaming query sets it. It is computed over one row per batch.
+    computed over one row per batch. (A streaming query filters with the watermark one
+    micro-batch older, so it may still let in a few rows this calls late.)
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     newest = rows.groupBy(batch).agg(F.max(micros).alias("__newest"))
