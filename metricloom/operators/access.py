@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESOURCE = ["resource_type", "resource_name", "action"]
+PATTERN_SIGNS = r"[\\.\[\](){}*+?^$|]"
+LISTED_PERMISSIONS = 1_000
 
 
 def claim_groups(claim: Column) -> Column:
@@ -44,15 +46,29 @@ def permissions(principals: DataFrame, group_roles: DataFrame, role_permissions:
 def allowed_resources(resources: DataFrame, role_permissions: DataFrame) -> DataFrame:
     """Distinct (role, resource) some permission of the role matches.
 
-    (type, action) is the equi key and the pattern only a residual, tried once per distinct
-    resource however many requests name it.
+    Permissions whose pattern is a plain name join on the name itself. For the others (type,
+    action) is the equi key and the pattern a residual, tried once per distinct resource
+    however many requests name it.
     """
-    return (
-        resources.select(*RESOURCE).distinct()
-        .join(role_permissions, ["resource_type", "action"])
-        .where(full_match(F.col("resource_name"), F.col("name_pattern")))
-        .select("role", *RESOURCE).distinct()
-    )
+    asked = resources.select(*RESOURCE).distinct()
+    plain = ~F.col("name_pattern").rlike(PATTERN_SIGNS)
+    named = asked.join(
+        role_permissions.where(plain).withColumnRenamed("name_pattern", "resource_name"), RESOURCE
+    ).select("role", *RESOURCE)
+    matched = asked.join(role_permissions.where(~plain), ["resource_type", "action"]).where(
+        full_match(F.col("resource_name"), F.col("name_pattern"))).select("role", *RESOURCE)
+    return named.unionByName(matched).distinct()
+
+
+def matching_roles(name: Column, permissions: list[dict], resource_type: str, action: str) -> Column:
+    """Roles of a short permission list that match ``name``: constant patterns, no join."""
+    if len(permissions) > LISTED_PERMISSIONS:
+        raise ValueError(f"{len(permissions)} permissions; join them as a table instead")
+    hits = [
+        F.when(full_match(name, F.lit(p["name_pattern"])), F.lit(p["role"])) for p in permissions
+        if p["resource_type"] == resource_type and p["action"] == action
+    ]
+    return F.array_distinct(F.array_compact(F.array(*hits).cast("array<string>")))
 
 
 def granted(requests: DataFrame, group_roles: DataFrame, role_permissions: DataFrame) -> DataFrame:
@@ -98,22 +114,15 @@ def authorise(requests: DataFrame, group_roles: DataFrame, role_permissions: Dat
 
 
 def visible_datasets(rows: DataFrame, dataset: str, claims: DataFrame, group_roles: DataFrame,
-                     role_permissions: DataFrame, action: str = "READ") -> DataFrame:
+                     permissions: list[dict], action: str = "READ") -> DataFrame:
     """Distinct (claim, data set) of the data sets in ``rows`` each claim may use."""
-    names = rows.select(
-        F.lit("DATASOURCE").alias("resource_type"), F.col(dataset).alias("resource_name"),
-        F.lit(action).alias("action"),
-    )
-    return (
-        claim_roles(claims, group_roles)
-        .join(allowed_resources(names, role_permissions), "role")
-        .select("claim", F.col("resource_name").alias(dataset)).distinct()
-    )
+    roles = matching_roles(F.col(dataset), permissions, "DATASOURCE", action)
+    names = rows.select(dataset).distinct().select(dataset, F.explode(roles).alias("role"))
+    return claim_roles(claims, group_roles).join(names, "role").select("claim", dataset).distinct()
 
 
 def secured(rows: DataFrame, dataset: str, claim: str, group_roles: DataFrame,
-            role_permissions: DataFrame) -> DataFrame:
+            permissions: list[dict]) -> DataFrame:
     """The rows one claim may read: a semi join on its data sets."""
     claims = rows.sparkSession.range(1).select(F.lit(claim).alias("claim"))
-    visible = visible_datasets(rows, dataset, claims, group_roles, role_permissions)
-    return rows.join(visible, dataset, "left_semi")
+    return rows.join(visible_datasets(rows, dataset, claims, group_roles, permissions), dataset, "left_semi")

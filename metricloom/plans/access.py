@@ -14,9 +14,11 @@ from metricloom.session import literal_table
 from metricloom.sources import tables
 
 
+PERMISSIONS = catalog.role_rows() + tables.CUSTOM_PERMISSIONS
+
+
 def role_permissions(spark):
-    rows = catalog.role_rows() + tables.CUSTOM_PERMISSIONS
-    return literal_table(spark, rows, pa.schema([
+    return literal_table(spark, PERMISSIONS, pa.schema([
         (n, pa.string()) for n in ("role", "resource_type", "name_pattern", "action")
     ]))
 
@@ -98,8 +100,7 @@ def visible_rows(spark, folder):
     """Data sets and rows every claim may read; rows are counted before claims fan out."""
     rows = _datasets(spark, folder)
     visible = A.visible_datasets(
-        rows, "dataset", tables.principals(spark, folder), tables.group_roles(spark, folder),
-        role_permissions(spark),
+        rows, "dataset", tables.principals(spark, folder), tables.group_roles(spark, folder), PERMISSIONS
     )
     counts = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"))
     return visible.join(counts, "dataset").groupBy("claim").agg(
@@ -113,8 +114,7 @@ WHERE regexp_full_match(lower(replace(o_orderpriority, ' ', '_')), '[12]-.*')"""
 def secured_scan(spark, folder):
     """The order rows a claim of one nation may read."""
     return A.secured(
-        _datasets(spark, folder), "dataset", "someone , nation-0", tables.group_roles(spark, folder),
-        role_permissions(spark),
+        _datasets(spark, folder), "dataset", "someone , nation-0", tables.group_roles(spark, folder), PERMISSIONS
     )
 
 

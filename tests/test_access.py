@@ -70,7 +70,7 @@ def test_bag_of_permissions_keeps_duplicates(spark):
 def test_secured_rows(spark):
     rows = spark.createDataFrame([("sales", 1), ("sales_eu", 2), ("hr", 3)], "ds string, n int")
     groups = spark.createDataFrame(GROUPS, "group string, role string")
-    perms = spark.createDataFrame(PERMISSIONS, "role string, resource_type string, name_pattern string, action string")
+    perms = [dict(zip(("role", "resource_type", "name_pattern", "action"), p)) for p in PERMISSIONS]
     assert {r["n"] for r in A.secured(rows, "ds", "team-a", groups, perms).collect()} == {1, 2}
     assert {r["n"] for r in A.secured(rows, "ds", '["admins"]', groups, perms).collect()} == {1, 2, 3}
     assert A.secured(rows, "ds", "nobody", groups, perms).count() == 0
