@@ -15,7 +15,7 @@ QUEUE_BYTES = 100_000_000
 LOSS_COUNTERS = ("MetricLost", "InvalidLost", "AlertLost", "Fatal")
 
 
-def request_batches(datums: DataFrame, flush: str = "10 seconds", slice_width: str = "1 second",
+def request_batches(datums: DataFrame, flush: str = "10 seconds", slice_width: str = "10 milliseconds",
                     size: int = BATCH_SIZE, keys: tuple[str, ...] = ("queue",)) -> DataFrame:
     """Number the datums of every flush in arrival order and cut them into requests.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from metricloom.session import settle
+
 LOAD_STATUS = "map<string,map<string,bigint>>"
 
 
@@ -132,7 +134,7 @@ def late_rows(rows: DataFrame, ts: str, batch: str, delay_us: int) -> DataFrame:
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     newest = rows.groupBy(batch).agg(F.max(micros).alias("__newest"))
     earlier = W.orderBy(batch).rowsBetween(W.unboundedPreceding, -1)
-    marks = newest.select(batch, (F.max("__newest").over(earlier) - delay_us).alias("__mark"))
+    marks = settle(newest.select(batch, (F.max("__newest").over(earlier) - delay_us).alias("__mark")), "watermarks")
     late = F.coalesce(micros < F.col("__mark"), F.lit(False))
     return rows.join(marks, batch).withColumn("thrown_away", late).drop("__mark")
 

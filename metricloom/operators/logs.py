@@ -93,23 +93,22 @@ def parsed(lines: DataFrame, parser, column: str = "value", keep_unmatched: bool
     return lines.select(*lines.columns, F.inline_outer(fields) if keep_unmatched else F.inline(fields))
 
 
-def merge_json_body(lines: DataFrame, column: str = "log", schema: str = "map<string,string>",
-                    keep_log: bool = True) -> DataFrame:
-    """Add ``log_processed`` where the body is a JSON object."""
-    is_object = F.schema_of_variant(F.try_parse_json(F.col(column))).startswith("OBJECT")
-    merged = lines.withColumn("log_processed", F.when(is_object, F.from_json(column, schema)))
+def merge_json_body(lines: DataFrame, column: str = "log", keep_log: bool = True) -> DataFrame:
+    """Add ``log_processed``, the top-level fields as text, where the body is a JSON object."""
+    fields = F.try_variant_get(F.try_parse_json(F.col(column)), "$", "map<string,string>")
+    merged = lines.withColumn("log_processed", fields)
     return merged if keep_log else merged.drop(column)
 
 
 def join_partial_lines(lines: DataFrame, keys: list[str], order: str, block: Column, flag: str = "logtag",
-                       text: str = "log") -> DataFrame:
+                       text: str = "log", coarser=None) -> DataFrame:
     """Concatenate P* F runs per stream; a run with no closing F has ``complete = false``.
 
     The run number is a running count of closing flags over blocks of the stream, so a stream
     with a third of all lines is scanned by many tasks. Only the lines of one message meet.
     """
     closed = F.when(F.col(flag) == "F", 1).otherwise(0).cast("bigint")
-    numbered = running(lines, keys, [order], block, {"message_no": closed}, inclusive=False)
+    numbered = running(lines, keys, [order], block, {"message_no": closed}, inclusive=False, coarser=coarser)
     messages = numbered.groupBy(*keys, "message_no").agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(text).alias("text")))).alias("__parts"),
         F.max(F.col(flag) == "F").alias("complete"),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from metricloom.session import settle
+
 TARGET_ROWS_PER_FILE = 5_000_000
 
 
@@ -81,10 +83,10 @@ def overwrite_interval(replacement: DataFrame, path: str, partition: str) -> Non
 def newest_versions(rows: DataFrame, interval: list[str], version: str) -> DataFrame:
     """Rows of the newest version of each interval; older versions are overshadowed.
 
-    The newest version per interval is a small aggregate joined back, so a large interval is
-    never sorted in one task.
+    The newest version per interval is a settled aggregate joined back: few intervals are
+    broadcast and the rows not shuffled at all, and a large interval is never sorted in one task.
     """
-    newest = rows.groupBy(*interval).agg(F.max(version).alias(version))
+    newest = settle(rows.groupBy(*interval).agg(F.max(version).alias(version)), "newest-versions")
     return rows.join(newest, [*interval, version], "left_semi")
 
 

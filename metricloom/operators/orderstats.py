@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from metricloom.session import settle
 
-BINS_PER_OCTAVE = 1024
+BINS_PER_OCTAVE = 128
 CUTS = 65_536
 SMALL_BIN = 200_000
 

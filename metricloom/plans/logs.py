@@ -9,6 +9,7 @@ from metricloom.functions import parsers as P
 from metricloom.operators import coordination as C
 from metricloom.operators import logs as L
 from metricloom.operators.logs import LogLayout
+from metricloom.operators.olap import write_segments
 from metricloom.operators.prefix import number_block, time_block
 from metricloom.plans.normalise import dims_text
 from metricloom.plans.registry import query
@@ -155,7 +156,9 @@ def conversation_messages(spark, folder):
                                               "path, stream", "event_id")))
 def container_messages(spark, folder):
     lines = L.parsed(tables.log_lines(spark, folder), P.parse_cri)
-    return L.join_partial_lines(lines, ["path", "stream"], "event_id", time_block(F.col("ts"), "1 hour"))
+    return L.join_partial_lines(
+        lines, ["path", "stream"], "event_id", time_block(F.col("ts"), "1 minute"),
+        coarser=lambda minute: time_block(minute, "1 day"))
 
 
 # events spread over host paths on and off the collect list
@@ -201,7 +204,7 @@ def log_sink(spark, folder):
     lines = tables.events(spark, folder).select("event_id", "user_id", "props", tag.alias("tag"))
     host = F.concat(F.lit("node-"), tables.text("user_id"))
     routed = L.sink_route(lines, LAYOUT, host).where("log_group IS NOT NULL")
-    routed.withColumn("family", F.split_part("tag", F.lit("."), F.lit(1))).write.partitionBy("family").parquet(path)
+    write_segments(routed.withColumn("family", F.split_part("tag", F.lit("."), F.lit(1))), path, "family")
     return spark.read.parquet(path).groupBy("stream_prefix", "log_group").agg(F.count(F.lit(1)).alias("lines"))
 
 

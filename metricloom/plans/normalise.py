@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from metricloom.catalog import EmitterSettings
+from metricloom.catalog import EmitterSettings, unit_table
 from metricloom.functions import dims as D
 from metricloom.operators import normalize as N
+from metricloom.operators.olap import write_segments
 from metricloom.plans.registry import query
 from metricloom.plans.views import sql
 from metricloom.session import scratch_path
@@ -35,8 +36,6 @@ def events_dispatch(spark, folder):
 SELECT metric, count(*) AS events, round(sum(value), 2) AS total FROM metric_events
 WHERE kind = 'metric' AND metric IN (SELECT metric FROM units) GROUP BY 1"""))
 def metric_allow_list(spark, folder):
-    from metricloom.catalog import unit_table
-
     events = tables.metric_events(spark, folder).where("kind = 'metric'")
     kept = events.join(unit_table(spark), "metric", "left_semi")
     return kept.groupBy("metric").agg(
@@ -105,10 +104,10 @@ def statsd_sink(spark, folder):
     """Mapped rows written by kind, and the written table read back."""
     path = scratch_path(spark, "statsd")
     rows = N.statsd_rows(tables.metric_events(spark, folder), SETTINGS)
-    rows.select(
+    write_segments(rows.select(
         "event_id", "metric", "rollup_kind", "value", "host_tag", dims_text().alias("dims"),
         F.array_join("tags", ",").alias("tags"),
-    ).write.partitionBy("rollup_kind").parquet(path)
+    ), path, "rollup_kind")
     return spark.read.parquet(path).groupBy("rollup_kind", "metric", "dims", "tags").agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("host_tag").alias("hosts")
     )

@@ -31,7 +31,7 @@ SELECT event_id, queue, flush, CAST(rn AS BIGINT) AS rn, CAST((rn - 1) // {BATCH
   FROM (SELECT *, {bucket(FLUSH)} AS flush FROM ({ALL_DATUMS}) d) f) r"""))
 def request_batches(spark, folder):
     datums = N.datums(tables.metric_events(spark, folder), SETTINGS)
-    numbered = B.request_batches(datums, FLUSH, "1 hour", BATCH)
+    numbered = B.request_batches(datums, FLUSH, "1 minute", BATCH)
     return numbered.select("event_id", "queue", "flush", "rn", "batch_id")
 
 
@@ -71,7 +71,7 @@ SELECT event_id, service, flush, CAST(size AS BIGINT) AS size, admitted FROM fol
     "WITH ", "WITH RECURSIVE ", 1))
 def bounded_admission(spark, folder):
     done = B.admit(
-        sized(spark, folder), ["service", "flush"], ["ts", "event_id"], time_block(F.col("ts"), "1 hour"),
+        sized(spark, folder), ["service", "flush"], ["ts", "event_id"], time_block(F.col("ts"), "10 minutes"),
         bound=BOUND,
     )
     return done.select("event_id", "service", "flush", "size", "admitted")

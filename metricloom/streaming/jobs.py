@@ -17,6 +17,7 @@ from metricloom.operators import alarms as A
 from metricloom.operators import batching as B
 from metricloom.operators import logs as L
 from metricloom.operators import normalize as N
+from metricloom.operators.olap import write_segments
 from metricloom.operators.prefix import time_block
 from metricloom.session import scratch_path
 
@@ -82,7 +83,7 @@ def loss_counts(events: DataFrame, period: str, delay: str) -> DataFrame:
 
 
 def flush_datums(events: DataFrame, path: str, checkpoint: str, settings: EmitterSettings, size: Column,
-                 flush: str = FLUSH, block: str = "1 second", bound: int = B.QUEUE_BYTES,
+                 flush: str = FLUSH, block: str = "10 milliseconds", bound: int = B.QUEUE_BYTES,
                  batch_size: int = B.BATCH_SIZE, trigger: dict | None = None) -> StreamingQuery:
     """Normalise, admit by bytes, number into requests and write to both sinks.
 
@@ -119,7 +120,7 @@ def route_logs(lines: DataFrame, path: str, checkpoint: str, layout: L.LogLayout
     routed = L.sink_route(tagged, layout, host).withColumn("family", F.split_part("tag", F.lit("."), F.lit(1)))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").partitionBy("family").parquet(f"{path}/epoch={epoch}")
+        write_segments(batch, f"{path}/epoch={epoch}", "family")
 
     return start_batches(routed, write, checkpoint, trigger or {"processingTime": LOG_FLUSH})
 

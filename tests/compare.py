@@ -40,13 +40,19 @@ def rows_of(columns, rows):
     return sorted(tuple(_cell(row[i]) for i in order) for row in rows)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
+         "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 def difference(spark_df, con, statement):
-    """None when both sides hold the same rows, else a short text."""
+    """None when both sides hold the same rows under the same names and types, else a short text."""
     result = con.execute(statement)
     names = [d[0] for d in result.description]
+    ours_typed = sorted((name, TYPES.get(kind, kind)) for name, kind in spark_df.dtypes)
+    theirs_typed = sorted((d[0], str(d[1])) for d in result.description)
+    if ours_typed != theirs_typed:
+        return f"columns {set(ours_typed) ^ set(theirs_typed)}"
     theirs = rows_of(names, result.fetchall())
-    if sorted(spark_df.columns) != sorted(names):
-        return f"columns {sorted(spark_df.columns)} != {sorted(names)}"
     ours = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     if ours == theirs:
         return None

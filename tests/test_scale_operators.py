@@ -65,6 +65,19 @@ def test_running_matches_plain_scan(spark):
     assert {(r["key"], r["at"]): r["s"] for r in before} == want_before
 
 
+def test_running_over_two_block_levels(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("aab"), i, rng.randrange(10)) for i in range(600)]
+    df = spark.createDataFrame(rows, "key string, at bigint, v bigint").repartition(6)
+    fine, coarse = prefix.number_block(F.col("at"), 5), lambda b: prefix.number_block(b, 7)
+    got = prefix.running(df, ["key"], ["at"], fine, {"s": F.col("v"), "n": F.lit(1)}, coarser=coarse).collect()
+    sums, want = {}, {}
+    for key, at, v in rows:
+        total, count = sums.get(key, (0, 0))
+        sums[key] = want[(key, at)] = (total + v, count + 1)
+    assert {(r["key"], r["at"]): (r["s"], r["n"]) for r in got} == want
+
+
 def fold(sizes, bound):
     used, flags = 0, []
     for size in sizes:
