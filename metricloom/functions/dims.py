@@ -11,10 +11,14 @@ RAW_DIMS = "array<struct<name:string,str:string,list:array<string>,other:string>
 CLEAN_DIMS = "array<struct<name:string,value:string>>"
 
 
+# white space and brackets vanish, a colon becomes a dash; then control characters are trimmed
+DELETED = "[] \t\n\x0b\f\r"
+CONTROL = "".join(map(chr, range(0x21)))
+
+
 def scrub(value: Column) -> Column:
     """Drop brackets and white space, turn ``:`` into ``-``, trim control characters."""
-    bare = F.replace(F.regexp_replace(value, r"[\[\]\s]", ""), F.lit(":"), F.lit("-"))
-    return F.regexp_replace(bare, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
+    return F.btrim(F.translate(value, ":" + DELETED, "-"), F.lit(CONTROL))
 
 
 def typed_value(dim: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricloom.session import settle
+
 RESOURCE = ["resource_type", "resource_name", "action"]
 PATTERN_SIGNS = r"[\\.\[\](){}*+?^$|]"
 LISTED_PERMISSIONS = 1_000
@@ -77,10 +79,10 @@ def granted(requests: DataFrame, group_roles: DataFrame, role_permissions: DataF
     Requests are reduced to their distinct combinations before any join, so a claim or a
     resource holding a third of the requests costs one row.
     """
-    asked = requests.where("claim IS NOT NULL").select("claim", *RESOURCE).distinct()
+    asked = settle(requests.where("claim IS NOT NULL").select("claim", *RESOURCE).distinct(), "asked")
     return (
-        asked.join(claim_roles(requests, group_roles), "claim")
-        .join(allowed_resources(requests, role_permissions), ["role", *RESOURCE])
+        asked.join(claim_roles(asked, group_roles), "claim")
+        .join(allowed_resources(asked, role_permissions), ["role", *RESOURCE])
         .select("claim", *RESOURCE).distinct()
     )
 

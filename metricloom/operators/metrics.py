@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from metricloom.functions import dims as D
 from metricloom.functions import values as V
+from metricloom.operators.normalize import pin
 from metricloom.operators.orderstats import Percentile, TrimmedMean, order_stats
+from metricloom.session import settle
 
 RANK_STATISTICS = {"p99": Percentile("p99", 0.99), "tm99": TrimmedMean("tm99", 99)}
 PLAIN_STATISTICS = {
@@ -31,16 +33,22 @@ def search(datums: DataFrame, metric: str, tokens: dict, by: str, namespace: str
     found = datums.where(F.col("name") == metric)
     if namespace is not None:
         found = found.where(F.col("namespace") == namespace)
+    found = pin(found, "dims")
     for name, value in tokens.items():
         found = found.where(D.has_dim(F.col("dims"), name, value))
     return found.withColumn(by, D.dim_value(F.col("dims"), by)).where(F.col(by).isNotNull())
 
 
 def windowed(df: DataFrame, keys: list[str], period: str, statistics: list[str], value: str = "value",
-             ts: str = "ts") -> DataFrame:
-    """``keys`` and ``bucket`` with one column per statistic."""
-    rows = df.withColumn("bucket", bucket(F.col(ts), period))
+             ts: str = "ts", stored: bool = False) -> DataFrame:
+    """``keys`` and ``bucket`` with one column per statistic.
+
+    Rank statistics read their input twice. With ``stored`` its few columns are written once
+    first, for inputs that cost more to compute than to store.
+    """
     group = [*keys, "bucket"]
+    rows = df.select(*keys, bucket(F.col(ts), period).alias("bucket"), value)
+    rows = settle(rows, "windowed") if stored else rows
     plain = [s for s in statistics if s in PLAIN_STATISTICS]
     ranked = [RANK_STATISTICS[s] for s in statistics if s not in PLAIN_STATISTICS]
     if not ranked:
@@ -65,10 +73,12 @@ def ratio(df: DataFrame, keys: list[str], period: str, used: Column, total: Colu
 def rollup_by_kind(events: DataFrame, keys: list[str], period: str, order: list[str]) -> DataFrame:
     """Counts are summed, gauges keep the last value, timers give count, mean and p99.
 
-    ``events`` carries ``metric``, ``rollup_kind``, ``value`` and ``ts``.
+    ``events`` carries ``metric``, ``rollup_kind``, ``value``, ``ts`` and the ``order`` columns.
+    Its narrow rows are written once, since three aggregations read them.
     """
-    rows = events.withColumn("bucket", bucket(F.col("ts"), period))
     group = ["metric", "rollup_kind", *keys, "bucket"]
+    narrow = events.withColumn("bucket", bucket(F.col("ts"), period)).select(*group, "value", *order)
+    rows = settle(narrow, "rollup")
 
     def only(kind, column):
         return F.when(F.col("rollup_kind") == kind, column)

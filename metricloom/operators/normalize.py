@@ -13,6 +13,15 @@ from metricloom.functions import values as V
 DATUM_COLUMNS = ("event_id", "queue", "name", "value", "dims", "unit", "ts", "namespace", "service")
 
 
+def pin(df: DataFrame, name: str) -> DataFrame:
+    """Compute a costly column once for everything that reads it later.
+
+    Filters and projections above would each repeat its expression; the output of a one-element
+    explode is a plain column. Filters on the other columns still move below it.
+    """
+    return df.select(*[F.col(c) for c in df.columns if c != name], F.explode(F.array(name)).alias(name))
+
+
 def dispatch(events: DataFrame) -> DataFrame:
     """Add ``route``: metric, alert, invalid, or fatal when a metric cannot be handled."""
     unusable = F.col("metric").isNull() | F.col("value").isNull() | F.col("ts").isNull()
