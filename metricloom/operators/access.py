@@ -101,8 +101,9 @@ def authorise(requests: DataFrame, group_roles: DataFrame, role_permissions: Dat
             "reason": F.when(F.col("principal").isNull(), "no principal")
             .when(~known, "no context").otherwise("no claim configured"),
         })
-    yes = granted(requests.where(known), group_roles, role_permissions).withColumn("__granted", F.lit(True))
-    joined = requests.join(yes, ["claim", *RESOURCE], "left")
+    # settled, so a small decision table is broadcast and the requests are not shuffled
+    yes = settle(granted(requests.where(known), group_roles, role_permissions), "granted")
+    joined = requests.join(yes.withColumn("__granted", F.lit(True)), ["claim", *RESOURCE], "left")
     reason = (
         F.when(F.col("principal").isNull(), "no principal")
         .when(~known, "no context")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from metricloom.functions import dims as D
 from metricloom.functions import values as V
 from metricloom.operators.normalize import pin
 from metricloom.operators.orderstats import Percentile, TrimmedMean, order_stats
-from metricloom.session import settle
+from metricloom.session import literal_table, settle
 
 RANK_STATISTICS = {"p99": Percentile("p99", 0.99), "tm99": TrimmedMean("tm99", 99)}
 PLAIN_STATISTICS = {
@@ -94,6 +95,31 @@ def rollup_by_kind(events: DataFrame, keys: list[str], period: str, order: list[
     return base.join(timers.drop("n"), group, "left")
 
 
+def panel_series(rows: DataFrame, panels: list[tuple[str, str, str, str]], metric: str = "metric") -> DataFrame:
+    """Series of all dashboard panels given as (panel, metric, statistic, period).
+
+    One aggregation per distinct period and kind of statistic, however many panels share it.
+    """
+    names = ("panel", metric, "statistic")
+    parts = []
+    for period, ranked in sorted({(p, s in RANK_STATISTICS) for _, _, s, p in panels}):
+        chosen = [p for p in panels if p[3] == period and (p[2] in RANK_STATISTICS) == ranked]
+        statistics = sorted({p[2] for p in chosen})
+        table = literal_table(
+            rows.sparkSession, [dict(zip(names, p)) for p in chosen], pa.schema([(n, pa.string()) for n in names])
+        )
+        wanted = rows.where(F.col(metric).isin(*{p[1] for p in chosen}))
+        value = F
+        for statistic in statistics:
+            value = value.when(F.col("statistic") == statistic, F.col(statistic))
+        parts.append(windowed(wanted, [metric], period, statistics).join(table, metric).select(
+            "panel", metric, "statistic", F.lit(period).alias("period"), "bucket", value.alias("value")))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def long_measures(df: DataFrame, ids: list[str], families: dict[str, tuple[str, ...]]) -> DataFrame:
     """Wide host samples to one row per measurement, keeping the listed measurements only."""
     listed = [m for measures in families.values() for m in measures if m in df.columns]

@@ -106,12 +106,16 @@ def compact(spark: SparkSession, source: str, target: str, partition: str, sort:
     write_segments(spark.read.parquet(source), target, partition, sort, rows_per_file)
 
 
-def system_columns(spark: SparkSession, tables: list[str]) -> DataFrame:
-    """Table and column listing as a DataFrame; one row per column of the named tables."""
-    rows = [
-        (name, c.name, c.dataType, c.nullable) for name in tables for c in spark.catalog.listColumns(name)
-    ]
-    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, nullable boolean")
+def system_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per column of the named tables: its name, type, and the table's row count."""
+    whole = None
+    for name, df in tables.items():
+        listed = F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("data_type")) for c, kind in df.dtypes])
+        part = df.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("table_name"), F.inline(listed), "rows")
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
 
 
 @contextmanager

@@ -5,8 +5,9 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from metricloom.catalog import AlarmRule
+from metricloom.catalog import IGNORED_FILE_SYSTEMS, AlarmRule
 from metricloom.operators import alarms as A
+from metricloom.operators import coordination as C
 from metricloom.operators import metrics as M
 from metricloom.plans.registry import query
 from metricloom.plans.views import bucket, sql, values_list
@@ -26,18 +27,16 @@ RULES = [
     AlarmRule("click avg any", "click", "avg", PERIOD, ">", 0, 1, 3, "missing"),
 ]
 
-RULE_VALUES = values_list([
-    (r.name, r.metric, r.statistic, r.compare, float(r.threshold), r.datapoints, r.evaluations, r.missing)
-    for r in RULES
-])
-
-STATES = f""", rules AS (SELECT * FROM ({RULE_VALUES}) t(alarm, metric, statistic, compare, threshold, m, n, missing)),
-points AS (
-  SELECT r.alarm, user_id % 4 AS part, {bucket(PERIOD)} AS bucket,
-    CASE r.statistic WHEN 'sum' THEN sum(value) ELSE avg(value) END AS value
-  FROM ev JOIN rules r ON r.metric = ev.event_type GROUP BY r.alarm, r.statistic, 2, 3),
+def states_sql(points: str, rules: list[AlarmRule], period: str) -> str:
+    """CTEs from ``points`` (alarm, part, bucket, value) to ``states``, by a self-join per frame."""
+    rows = values_list([
+        (r.name, r.metric, r.statistic, r.compare, float(r.threshold), r.datapoints, r.evaluations, r.missing)
+        for r in rules
+    ])
+    return f""", rules AS (SELECT * FROM ({rows}) t(alarm, metric, statistic, compare, threshold, m, n, missing)),
+points AS ({points}),
 grid AS (
-  SELECT alarm, part, unnest(generate_series(min(bucket), max(bucket), INTERVAL '{PERIOD}')) AS bucket
+  SELECT alarm, part, unnest(generate_series(min(bucket), max(bucket), INTERVAL '{period}')) AS bucket
   FROM points GROUP BY 1, 2),
 flags AS (
   SELECT g.alarm, g.part, g.bucket, p.value, r.m, r.n, r.missing,
@@ -56,7 +55,14 @@ states AS (
   SELECT alarm, part, bucket, value, CAST(breaches AS BIGINT) AS breaches, CAST(datapoints AS BIGINT) AS datapoints,
     CASE WHEN missing = 'missing' AND datapoints = 0 THEN 'INSUFFICIENT_DATA'
       WHEN breaches >= m THEN 'ALARM' ELSE 'OK' END AS state
-  FROM sums)"""
+  FROM sums)
+"""
+
+
+STATES = states_sql(f"""
+  SELECT r.alarm, user_id % 4 AS part, {bucket(PERIOD)} AS bucket,
+    CASE r.statistic WHEN 'sum' THEN sum(value) ELSE avg(value) END AS value
+  FROM ev JOIN rules r ON r.metric = ev.event_type GROUP BY r.alarm, r.statistic, 2, 3""", RULES, PERIOD)
 
 
 def states(spark, folder):
@@ -85,6 +91,55 @@ def alarm_transitions(spark, folder):
     return A.transitions(states(spark, folder), ["part"])
 
 
+SHOWN = "SELECT alarm, part, bucket, round(value, 6) AS value, breaches, datapoints, state FROM states"
+
+RATIO_RULES = [
+    AlarmRule("group memory", "mem_used/mem_total", "avg", PERIOD, ">", 5.5, 3, 5, "not_breaching"),
+    AlarmRule("group disk", "disk_used/disk_total", "sum", PERIOD, ">", 6.0, 3, 5, "not_breaching"),
+]
+
+
+@query("W2 W3 P22 G1", sql("host_metrics", states_sql(f"""
+  SELECT 'group memory' AS alarm, asg AS part, {bucket(PERIOD)} AS bucket,
+    avg(mem_used) / avg(mem_total) * 100 AS value FROM host_metrics GROUP BY 2, 3
+  UNION ALL SELECT 'group disk', asg, {bucket(PERIOD)}, sum(used) / sum(total) * 100 FROM host_metrics
+  WHERE fstype NOT IN ('sysfs', 'devtmpfs', 'tmpfs') GROUP BY 2, 3""", RATIO_RULES, PERIOD) + SHOWN))
+def ratio_alarms(spark, folder):
+    """Alarms on used / total of memory (averages) and disk (sums) per group."""
+    hosts = tables.host_metrics(spark, folder).withColumnRenamed("asg", "part")
+    disks = hosts.where(~F.col("fstype").isin(*IGNORED_FILE_SYSTEMS))
+    memory = M.ratio(hosts, ["part"], PERIOD, F.col("mem_used"), F.col("mem_total"), "avg")
+    disk = M.ratio(disks, ["part"], PERIOD, F.col("used"), F.col("total"), "sum")
+    points = memory.withColumn("alarm", F.lit("group memory")).unionByName(
+        disk.withColumn("alarm", F.lit("group disk")))
+    done = A.evaluate(
+        points.select("alarm", "part", "bucket", F.col("percent").alias("value")), ["part"], RATIO_RULES, PERIOD)
+    return done.withColumn("value", F.round("value", 6))
+
+
+NODE_RULES = [
+    AlarmRule("node latency", "zk_max_latency", "p99", "1 day", ">", 90, 3, 5, "missing"),
+    AlarmRule("node average", "zk_avg_latency", "p99", "1 day", ">", 95, 3, 3, "missing"),
+]
+
+
+@query("W2 W3 G1 S2 P13", sql("last_scrapes", states_sql(f"""
+  SELECT r.alarm, s.node AS part, {bucket('1 day', 's.scrape')} AS bucket,
+    quantile_cont(CAST(s.text AS DOUBLE), 0.99) AS value
+  FROM last_scrapes s JOIN rules r ON r.metric = s.metric GROUP BY 1, 2, 3""", NODE_RULES, "1 day") + SHOWN))
+def node_alarms(spark, folder):
+    """Coordination alarms per node on the p99 of its scrapes."""
+    values = C.scrape_values(tables.scrapes(spark, folder), ["node", "scrape"], "line_no")
+    datums = C.coordination_datums(values, "node").withColumnRenamed("number", "value")
+    alarm = F
+    for rule in NODE_RULES:
+        alarm = alarm.when(F.col("name") == rule.metric, F.lit(rule.name))
+    rows = datums.withColumn("alarm", alarm).where("alarm IS NOT NULL").withColumnRenamed("node", "part")
+    points = M.windowed(rows, ["alarm", "part"], "1 day", ["p99"], ts="scrape", stored=True)
+    done = A.evaluate(points.withColumnRenamed("p99", "value"), ["part"], NODE_RULES, "1 day")
+    return done.withColumn("value", F.round("value", 6))
+
+
 STEPS = [(None, 30.0, -1), (60.0, 80.0, 1), (80.0, None, 3)]
 
 

@@ -11,7 +11,7 @@ from metricloom.operators.orderstats import Percentile, order_stats
 from metricloom.plans.registry import query
 from metricloom.plans.retention import AS_OF, LOAD, LOAD_CASE
 from metricloom.plans.views import bucket, sql
-from metricloom.session import scratch_path
+from metricloom.session import scratch_path, settle
 from metricloom.sources import formats, tables
 
 LINES_SUMMARY = """SELECT l_returnflag, l_linestatus, count(*) AS rows, sum(l_quantity) AS quantity,
@@ -194,6 +194,26 @@ def external_tables(spark, folder):
     return spark.sql(ENDPOINT.format(**{n: f"parquet.`{folder}/{n}.parquet`" for n in names}))
 
 
+@query("E4", """
+SELECT t.table_name, t.column_name, t.data_type, r.rows FROM (VALUES
+  ('orders', 'o_orderkey', 'bigint'), ('orders', 'o_custkey', 'bigint'), ('orders', 'o_orderstatus', 'string'),
+  ('orders', 'o_totalprice', 'double'), ('orders', 'o_orderdate', 'timestamp_ntz'),
+  ('orders', 'o_orderpriority', 'string'), ('events', 'event_id', 'bigint'), ('events', 'ts', 'timestamp_ntz'),
+  ('events', 'user_id', 'bigint'), ('events', 'event_type', 'string'), ('events', 'value', 'double'),
+  ('events', 'props', 'string')) t(table_name, column_name, data_type)
+JOIN (SELECT 'orders' AS table_name, count(*) AS rows FROM orders UNION ALL SELECT 'events', count(*) FROM events) r
+  USING (table_name)""")
+def system_tables(spark, folder):
+    return O.system_columns({name: tables.table(spark, folder, name) for name in ("orders", "events")})
+
+
+@query("E5", LINES_SUMMARY)
+def query_context(spark, folder):
+    """A summary computed and stored under settings that hold for it alone."""
+    with O.query_context(spark, spark__sql__shuffle__partitions=3, spark__sql__files__maxPartitionBytes="16m"):
+        return settle(lines_summary(tables.table(spark, folder, "lineitem")), "context")
+
+
 @query("E7", """
 SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS time, event_type, user_id % 10 AS shard, count(*) AS rows,
   round(sum(value), 6) AS "sum", min(value) AS "min", max(value) AS "max" FROM events GROUP BY 1, 2, 3""")

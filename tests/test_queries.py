@@ -32,7 +32,7 @@ SURVEY_ROWS = (
     + " ".join(f"P{i}" for i in range(1, 26)) + " J1 J2 J3 J4 J5 J6 J7 J8 J9 "
     + " ".join(f"G{i}" for i in range(1, 18)) + " W1 W2 W3 W4 W5 W6 W7 O1 O2 O4 X1 X2 X3 X4 "
     + " ".join(f"R{i}" for i in range(1, 13)) + " " + " ".join(f"T{i}" for i in range(1, 10))
-    + " A1 A2 A3 E1 E2 E3 E6 E7 E8 E9 E10"
+    + " A1 A2 A3 E1 E2 E3 E4 E5 E6 E7 E8 E9 E10"
 ).split()
 
 
