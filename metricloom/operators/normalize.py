@@ -82,19 +82,22 @@ def with_unit(metrics: DataFrame, units: DataFrame | None = None, default: str =
 
 
 def rollup_dims(events: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
-    """Keep mapped metrics with the dimensions their map entry lists, and convert 0..1 ranges."""
+    """Mapped metrics with the dimensions their map entry lists, cleaned, and 0..1 ranges converted.
+
+    The join comes first and the listed names are picked before cleaning, so no work goes into
+    unmapped metrics or unlisted dimensions.
+    """
     rollup = catalog.rollup_table(events.sparkSession) if rollup is None else rollup
     joined = events.join(rollup, "metric")
     return joined.withColumns({
-        "dims": D.project_dims(F.col("dims"), F.col("keep_dims")),
+        "dims": D.clean_dims(D.project_dims(F.col("dims"), F.col("keep_dims"))),
         "value": V.percent_range(F.col("value"), F.col("convert_range")),
     }).drop("keep_dims", "convert_range")
 
 
 def statsd_rows(events: DataFrame, settings: EmitterSettings = EmitterSettings()) -> DataFrame:
     """Mapped dimension subset and kind, host tag, and the constant cluster tag."""
-    clean = events.where("kind = 'metric'").withColumn("dims", D.clean_dims(F.col("dims")))
-    return rollup_dims(clean).withColumns({
+    return rollup_dims(events.where("kind = 'metric'")).withColumns({
         "tags": F.array(F.lit(f"cluster_name:{settings.cluster}")),
         "host_tag": F.col("host"),
     })

@@ -41,6 +41,13 @@ class Rule:
         raise ValueError(f"rule {self.type!r} needs its period or interval")
 
 
+    def earliest(self, as_of: Column) -> Column | None:
+        """Lower bound of the matching times, None if there is none."""
+        if self.period and self.type != "dropBeforeByPeriod":
+            return iso.before(as_of, self.period)
+        return iso.interval_bounds(self.interval)[0] if self.interval else None
+
+
 DEFAULT_CHAIN = (Rule("loadForever", replicants={"default": 2}),)
 
 
@@ -69,8 +76,32 @@ def _replicant_map(rule: Rule) -> Column:
     return F.create_map(*[F.lit(x) for pair in rule.replicants.items() for x in pair]).cast("map<string,int>")
 
 
+def earliest_kept(rules, as_of: Column) -> Column | None:
+    """A constant no kept row lies before, None if the rules keep rows of any age.
+
+    Rows that reach a dropBefore or dropForever rule and are old enough are gone, so only the
+    keep rules above it can hold older ones.
+    """
+    bounds = []
+    for rule in rules:
+        if rule.type == "dropBeforeByPeriod":
+            bounds.append(iso.before(as_of, rule.period))
+        if rule.type in ("dropBeforeByPeriod", "dropForever"):
+            return F.least(*bounds) if len(bounds) > 1 else bounds[0] if bounds else None
+        if rule.action() != "drop":
+            bound = rule.earliest(as_of)
+            if bound is None:
+                return None
+            bounds.append(bound)
+    return None
+
+
 def retained(df: DataFrame, ts: str, rules, as_of: str) -> DataFrame:
-    return apply_retention(df, ts, rules, as_of).where("action <> 'drop'").drop("rule_no", "action", "replicants")
+    """Rows no rule drops. The age bound the rules imply is a plain filter that reaches the scan."""
+    bound = earliest_kept([*rules, *DEFAULT_CHAIN], as_of_column(as_of))
+    young = df if bound is None else df.where(F.col(ts) >= bound)
+    kept = apply_retention(young, ts, rules, as_of).where("action <> 'drop'")
+    return kept.select(*df.columns)
 
 
 def tier_bytes(df: DataFrame, ts: str, rules, as_of: str, size: str = "bytes") -> DataFrame:

@@ -129,31 +129,35 @@ def stored_groups_claimed(spark, folder):
     return kept.groupBy("group").agg(F.count(F.lit(1)).alias("principals"))
 
 
-@query("X3", """
-SELECT key, CASE WHEN c_custkey IS NULL THEN 'delete' WHEN s_suppkey IS NULL THEN 'create'
-  WHEN s_nationkey <> c_nationkey THEN 'update' ELSE 'keep' END AS change,
-  coalesce(c_nationkey, s_nationkey) AS nation
-FROM (SELECT coalesce(c_custkey, s_suppkey) AS key, * FROM customer
-  FULL OUTER JOIN supplier ON s_suppkey = c_custkey) j""")
+# parts stand for the stored mapping, customers for the desired one; their keys overlap in part
+STORED = "SELECT p_partkey + 500 AS key, p_size % 25 AS value FROM part"
+DESIRED = "SELECT c_custkey AS key, c_nationkey AS value FROM customer"
+
+
+def _mappings(spark, folder):
+    stored = tables.table(spark, folder, "part").select(
+        (F.col("p_partkey") + 500).alias("key"), (F.col("p_size") % 25).alias("value"))
+    desired = tables.table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("value"))
+    return stored, desired
+
+
+@query("X3", f"""
+SELECT coalesce(d.key, s.key) AS key, CASE WHEN d.key IS NULL THEN 'delete' WHEN s.key IS NULL THEN 'create'
+  WHEN s.value <> d.value THEN 'update' ELSE 'keep' END AS change, coalesce(d.value, s.value) AS value
+FROM ({STORED}) s FULL OUTER JOIN ({DESIRED}) d ON s.key = d.key""")
 def mapping_sync(spark, folder):
-    """Suppliers as the stored mapping, customers as the desired one."""
-    old = tables.table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation"))
-    new = tables.table(spark, folder, "customer").select(
-        F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"))
-    return S.minimal_changes(old, new, ["key"])
-
-
-@query("X3 X2", """
-SELECT nation, change, count(*) AS rows FROM (
-  SELECT s_nationkey AS nation, 'delete' AS change FROM supplier
-  UNION ALL SELECT c_nationkey, 'create' FROM customer) u GROUP BY 1, 2""")
+    stored, desired = _mappings(spark, folder)
+    return S.minimal_changes(stored, desired, ["key"])
+
+
+@query("X3 X2", f"""
+SELECT value, change, count(*) AS rows FROM (
+  SELECT value, 'delete' AS change FROM ({STORED}) s UNION ALL SELECT value, 'create' FROM ({DESIRED}) d) u
+GROUP BY 1, 2""")
 def mapping_replace(spark, folder):
-    old = tables.table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation"))
-    new = tables.table(spark, folder, "customer").select(
-        F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"))
-    return S.replace_changes(old, new).groupBy("nation", "change").agg(F.count(F.lit(1)).alias("rows"))
+    stored, desired = _mappings(spark, folder)
+    return S.replace_changes(stored, desired).groupBy("value", "change").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("X4", sql("claimed_groups", """

@@ -19,7 +19,7 @@ PERIOD = "1 hour"
 # One rule per shape of the catalogue, over event types as metrics; the events are too sparse
 # for the catalogue's 5-minute periods.
 RULES = [
-    AlarmRule("click sum high", "click", "sum", PERIOD, ">", 200, 3, 5, "not_breaching"),
+    AlarmRule("click sum high", "click", "sum", PERIOD, ">", 60, 3, 5, "not_breaching"),
     AlarmRule("view avg high", "view", "avg", PERIOD, ">", 45, 3, 5, "missing"),
     AlarmRule("signup avg high short", "signup", "avg", PERIOD, ">=", 50, 3, 3, "missing"),
     AlarmRule("purchase avg low", "purchase", "avg", PERIOD, "<=", 50, 3, 5, "missing"),

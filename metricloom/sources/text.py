@@ -10,7 +10,8 @@ from metricloom.operators.logs import LogLayout
 
 
 def _with_path(lines: DataFrame) -> DataFrame:
-    return lines.select(F.regexp_replace(F.input_file_name(), r"^file:/+", "/").alias("path"), "value")
+    """Filters on the file path alone choose files before any of them is opened."""
+    return lines.select(F.regexp_replace("_metadata.file_path", r"^file:/+", "/").alias("path"), "value")
 
 
 def read_lines(spark: SparkSession, paths, glob: str | None = None) -> DataFrame:

@@ -108,3 +108,19 @@ def test_purge_reaches_the_scan(spark, folder):
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
     plan = R.purge(lines, "l_shipdate", "P60D", "1999-01-01")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate), LessThan(l_shipdate" in plan
+
+
+@pytest.mark.parametrize("chain, pushed", [
+    ([Rule("loadByPeriod", period="P3Y"), Rule("dropForever")], "1998-11-05"),
+    ([Rule("dropByPeriod", period="P2W"), Rule("dropBeforeByPeriod", period="P1Y")], "2000-11-05"),
+    ([Rule("loadByInterval", interval="1996-01-01/1996-02-01"), Rule("dropBeforeByPeriod", period="P1Y")], "1996-01-01"),
+    ([Rule("loadForever"), Rule("dropForever")], None),
+    ([Rule("dropByPeriod", period="P1Y")], None),
+])
+def test_retained_rows_and_their_pushed_bound(spark, folder, chain, pushed):
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    kept = R.retained(lines, "l_shipdate", chain, "2001-11-05")
+    plain = R.apply_retention(lines, "l_shipdate", chain, "2001-11-05").where("action <> 'drop'")
+    assert kept.count() == plain.count() > 0
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert (f"GreaterThanOrEqual(l_shipdate,{pushed}T00:00)" in plan) == (pushed is not None)

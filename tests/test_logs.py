@@ -75,6 +75,14 @@ def test_globs(spark, glob, path, hit):
     assert spark.range(1).select(F.lit(path).rlike(P.glob_pattern(glob))).first()[0] is hit
 
 
+def iter_nodes(plan, name):
+    if plan.nodeName().startswith(name):
+        yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from iter_nodes(children.apply(i), name)
+
+
 def test_file_sources(spark, tmp_path):
     layout = LogLayout(containers=f"{tmp_path}/containers")
     folder = tmp_path / "containers"
@@ -83,7 +91,11 @@ def test_file_sources(spark, tmp_path):
         (folder / f"{name}.log").write_text(f"{name}\n")
     (folder / "web.txt").write_text("not a log\n")
     assert {r["value"] for r in text.container_logs(spark, layout).collect()} == {"web-1", "metric-agent-1", "fluent-bit-2"}
-    assert {r["value"] for r in text.data_plane_logs(spark, layout).collect()} == {"network-node-3", "kube-proxy-4"}
+    chosen = text.data_plane_logs(spark, layout)
+    assert {r["value"] for r in chosen.collect()} == {"network-node-3", "kube-proxy-4"}
+    # the other files are not even opened
+    scan = next(iter_nodes(chosen._jdf.queryExecution().executedPlan(), "Scan"))
+    assert scan.metrics().apply("numFiles").value() == 2
 
 
 def test_journal_and_host_sources(spark, tmp_path):
