@@ -28,6 +28,19 @@ def request_batches(datums: DataFrame, flush: str = "10 seconds", slice_width: s
     return numbered.withColumn("batch_id", F.floor((F.col("rn") - 1) / size))
 
 
+def requests(batched: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per request in sending order: of every flush all metric requests, then all alerts.
+
+    The alerts' offset is the flush's number of metric requests, one small row per flush, so the
+    requests of a flush are numbered without sorting them together.
+    """
+    turn = [*keys, "flush"]
+    sent = batched.groupBy(*turn, "queue", "batch_id").agg(F.count(F.lit(1)).alias("datums"))
+    metrics = sent.where("queue = 'metric'").groupBy(*turn).agg((F.max("batch_id") + 1).alias("__metrics"))
+    offset = F.when(F.col("queue") == "metric", F.lit(0)).otherwise(F.coalesce("__metrics", F.lit(0)))
+    return sent.join(metrics, turn, "left").withColumn("request_no", F.col("batch_id") + offset + 1).drop("__metrics")
+
+
 def datum_text(columns: list[Column]) -> Column:
     return F.concat_ws("|", *columns)
 

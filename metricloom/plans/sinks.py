@@ -35,6 +35,18 @@ def request_batches(spark, folder):
     return numbered.select("event_id", "queue", "flush", "rn", "batch_id")
 
 
+@query("K1 O1", sql("datums metric_events", f"""
+SELECT flush, queue, batch_id, datums,
+  row_number() OVER (PARTITION BY flush ORDER BY queue DESC, batch_id) AS request_no FROM (
+  SELECT flush, queue, CAST((rn - 1) // {BATCH} AS BIGINT) AS batch_id, count(*) AS datums FROM (
+    SELECT *, row_number() OVER (PARTITION BY queue, flush ORDER BY ts, event_id) AS rn
+    FROM (SELECT *, {bucket(FLUSH)} AS flush FROM ({ALL_DATUMS}) d) f) r GROUP BY 1, 2, 3) q"""))
+def request_order(spark, folder):
+    """Requests in sending order: the metrics queue is drained before the alerts queue."""
+    datums = N.datums(tables.metric_events(spark, folder), SETTINGS)
+    return B.requests(B.request_batches(datums, FLUSH, "1 minute", BATCH))
+
+
 SIZED = f"""
 , sized AS (
   SELECT d.event_id, d.ts, d.service, {bucket(FLUSH, 'd.ts')} AS flush,

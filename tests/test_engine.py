@@ -114,3 +114,18 @@ def test_priorities(spark):
     tiers = spark.createDataFrame([("x", 1), ("y", None), ("z", 5), ("w", 0), ("v", -1)], "tier string, priority int")
     got = [r["tier"] for r in H.by_priority(tiers, "priority", ["tier"]).collect()]
     assert got == ["z", "x", "w", "y", "v"]
+
+
+def test_interval_filter_reaches_the_scan(spark, folder):
+    rows = O.in_interval(tables.table(spark, folder, "events"), "ts", "2024-01-05", "2024-01-20").select("user_id")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-05T00:00), LessThan(ts,2024-01-20T00:00)" in plan
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in plan
+
+
+def test_interval_prunes_partitions(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"2024-01-0{i}") for i in range(1, 6)], "v int, day string")
+    O.write_segments(rows.withColumn("day", F.to_date("day")), f"{tmp_path}/t", "day")
+    kept = O.in_interval(spark.read.parquet(f"{tmp_path}/t"), "day", "2024-01-02", "2024-01-04")
+    assert sorted(r["v"] for r in kept.collect()) == [2, 3]
+    assert "PartitionFilters: [isnotnull(day" in kept._jdf.queryExecution().executedPlan().toString()
