@@ -38,7 +38,7 @@ def streamed_first_copies(spark, folder):
     """Every event sent twice; the second copy is dropped."""
     once = event_stream(spark, folder)
     twice = once.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    done = J.drain(J.first_copies(twice, ["event_id"], DELAY), "first-copies")
+    done = J.drain(J.first_copies(twice, ["event_id"], DELAY, salts=8), "first-copies")
     return done.groupBy("user_id", "event_type").agg(
         F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("ids"))
 

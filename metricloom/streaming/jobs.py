@@ -60,9 +60,18 @@ def windowed_statistics(rows: DataFrame, keys: list[str], period: str, delay: st
     ).select(*keys, F.col("w.start").cast("timestamp_ntz").alias("bucket"), "sum", "avg", "count")
 
 
-def first_copies(rows: DataFrame, ids: list[str], delay: str, ts: str = "ts") -> DataFrame:
-    """Rows whose id was not seen within the watermark."""
-    return with_watermark(rows, ts, delay).dropDuplicatesWithinWatermark(ids)
+def first_copies(rows: DataFrame, ids: list[str], delay: str, ts: str = "ts", salts: int = 1) -> DataFrame:
+    """Rows whose id was not seen within the watermark.
+
+    A stream keeps no map-side state, so an id with very many copies would send them all to one
+    task. With ``salts`` the copies of every input task group meet first, and at most ``salts``
+    of them go on to meet each other.
+    """
+    marked = with_watermark(rows, ts, delay)
+    if salts > 1:
+        marked = marked.withColumn("__salt", F.spark_partition_id() % salts).dropDuplicatesWithinWatermark(
+            [*ids, "__salt"]).drop("__salt")
+    return marked.dropDuplicatesWithinWatermark(ids)
 
 
 def split_parsed(lines: DataFrame, column: str, schema: str) -> DataFrame:

@@ -46,6 +46,15 @@ def test_late_rows_and_copies_are_dropped(spark, tmp_path):
     assert dropped == 1
 
 
+def test_copies_in_many_tasks_are_dropped(spark, tmp_path):
+    rows = [(i % 7 if i % 3 else 0, at(i % 50), 1.0) for i in range(300)]
+    for name in "ab":
+        spark.createDataFrame(rows, VALUE).repartition(6).write.parquet(f"{tmp_path}/in/{name}")
+    stream_rows = spark.readStream.schema(VALUE).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    J.start(J.first_copies(stream_rows, ["id"], "2 hours", salts=4), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(7))
+
+
 def test_restart_reads_only_new_files(spark, tmp_path):
     schema = "id bigint"
     put(spark, tmp_path / "in", "a", [(1,), (2,)], schema)
