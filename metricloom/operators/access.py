@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.session import settle
+from metricloom.session import settle, stored
 
 RESOURCE = ["resource_type", "resource_name", "action"]
 PATTERN_SIGNS = r"[\\.\[\](){}*+?^$|]"
@@ -79,7 +79,7 @@ def granted(requests: DataFrame, group_roles: DataFrame, role_permissions: DataF
     Requests are reduced to their distinct combinations before any join, so a claim or a
     resource holding a third of the requests costs one row.
     """
-    asked = settle(requests.where("claim IS NOT NULL").select("claim", *RESOURCE).distinct(), "asked")
+    asked = stored(requests.where("claim IS NOT NULL").select("claim", *RESOURCE).distinct(), "asked")
     return (
         asked.join(claim_roles(asked, group_roles), "claim")
         .join(allowed_resources(asked, role_permissions), ["role", *RESOURCE])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.operators import retention
-from metricloom.session import settle
+from metricloom.session import stored
 
 BROADCAST_ROWS = 100_000
 
@@ -26,7 +26,7 @@ def lookup_map(column: Column, pairs: dict[str, str], default: str | None = None
 
 
 def replicated(rows: DataFrame, ts: str, rules, as_of: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows the rules mark for every node: settled, counted, and hinted only if few enough."""
+    """Rows the rules mark for every node: stored, counted, and hinted only if few enough."""
     marked = retention.apply_retention(rows, ts, rules, as_of).where("action = 'broadcast'")
-    table = settle(marked.select(*rows.columns), "replicated")
+    table = stored(marked.select(*rows.columns), "replicated")
     return F.broadcast(table) if table.count() <= limit else table

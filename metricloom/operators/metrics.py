@@ -6,11 +6,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricloom import session
 from metricloom.functions import dims as D
 from metricloom.functions import values as V
 from metricloom.operators.normalize import pin
 from metricloom.operators.orderstats import Percentile, TrimmedMean, order_stats
-from metricloom.session import literal_table, settle
+from metricloom.session import literal_table
 
 RANK_STATISTICS = {"p99": Percentile("p99", 0.99), "tm99": TrimmedMean("tm99", 99)}
 PLAIN_STATISTICS = {
@@ -49,7 +50,7 @@ def windowed(df: DataFrame, keys: list[str], period: str, statistics: list[str],
     """
     group = [*keys, "bucket"]
     rows = df.select(*keys, bucket(F.col(ts), period).alias("bucket"), value)
-    rows = settle(rows, "windowed") if stored else rows
+    rows = session.stored(rows, "windowed") if stored else rows
     plain = [s for s in statistics if s in PLAIN_STATISTICS]
     ranked = [RANK_STATISTICS[s] for s in statistics if s not in PLAIN_STATISTICS]
     if not ranked:
@@ -79,7 +80,7 @@ def rollup_by_kind(events: DataFrame, keys: list[str], period: str, order: list[
     """
     group = ["metric", "rollup_kind", *keys, "bucket"]
     narrow = events.withColumn("bucket", bucket(F.col("ts"), period)).select(*group, "value", *order)
-    rows = settle(narrow, "rollup")
+    rows = session.stored(narrow, "rollup")
 
     def only(kind, column):
         return F.when(F.col("rollup_kind") == kind, column)

@@ -11,7 +11,7 @@ from metricloom.operators.orderstats import Percentile, order_stats
 from metricloom.plans.registry import query
 from metricloom.plans.retention import AS_OF, LOAD, LOAD_CASE
 from metricloom.plans.views import bucket, sql
-from metricloom.session import scratch_path, settle
+from metricloom.session import scratch_path, stored
 from metricloom.sources import formats, tables
 
 LINES_SUMMARY = """SELECT l_returnflag, l_linestatus, count(*) AS rows, sum(l_quantity) AS quantity,
@@ -211,7 +211,7 @@ def system_tables(spark, folder):
 def query_context(spark, folder):
     """A summary computed and stored under settings that hold for it alone."""
     with O.query_context(spark, spark__sql__shuffle__partitions=3, spark__sql__files__maxPartitionBytes="16m"):
-        return settle(lines_summary(tables.table(spark, folder, "lineitem")), "context")
+        return stored(lines_summary(tables.table(spark, folder, "lineitem")), "context")
 
 
 @query("E7", """

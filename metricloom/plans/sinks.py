@@ -13,7 +13,7 @@ from metricloom.operators.prefix import time_block
 from metricloom.plans.normalise import dims_text
 from metricloom.plans.registry import query
 from metricloom.plans.views import bucket, sql
-from metricloom.session import scratch_path, settle
+from metricloom.session import scratch_path, stored
 from metricloom.sources import tables
 
 SETTINGS = EmitterSettings()
@@ -72,7 +72,7 @@ def sized(spark, folder):
     datums = N.metric_datums(tables.metric_events(spark, folder), SETTINGS)
     body = B.datum_text([F.col("name"), F.col("unit"), dims_text()])
     source = F.right(D.dim_value(F.col("dims"), "dataSource"), F.lit(1)).cast("bigint")
-    return settle(datums.select(
+    return stored(datums.select(
         "event_id", "ts", "service", F.window("ts", FLUSH)["start"].alias("flush"),
         (F.octet_length(body) + source * 60).cast("bigint").alias("size"),
     ), "sized")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # Literal tables ride inside the plan, so they must stay small.
 LITERAL_ROW_LIMIT = 10_000
+# File sizes say little about rows that compress well, so broadcast sides are counted too.
+BROADCAST_ROW_LIMIT = 1_000_000
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,17 +54,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/metricloom/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: no lineage to recompute when executors
+    are lost, and no second run of a costly plan."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+    """Store a join side that is meant to be small, and check that it is.
 
-    The result has no lineage to recompute when executors are lost, and its size is known
-    to the planner, which then broadcasts it only below ``spark.sql.autoBroadcastJoinThreshold``
-    and sort-merge joins it otherwise.
+    Up to ``BROADCAST_ROW_LIMIT`` rows the planner may broadcast it, if its file size is below
+    ``spark.sql.autoBroadcastJoinThreshold`` too. Above, it is sort-merge joined, where AQE
+    splits skewed keys.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = stored(df, label)
+    return table if table.count() <= BROADCAST_ROW_LIMIT else table.hint("merge")
 
 
 def literal_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:

@@ -103,6 +103,18 @@ def test_replication_checks_its_size(spark):
     assert "BroadcastHashJoin" not in plan(19)
 
 
+def test_settled_sides_are_counted(spark, monkeypatch):
+    left = spark.range(1000).withColumnRenamed("id", "k")
+
+    def plan():
+        side = session.settle(spark.range(50).withColumnRenamed("id", "k"), "side")
+        return left.join(side.where("k > 3").select("k"), "k")._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(session, "BROADCAST_ROW_LIMIT", 10)
+    assert "SortMergeJoin" in plan()
+
+
 def test_literal_tables_are_bounded(spark):
     import pyarrow as pa
 
