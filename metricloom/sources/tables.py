@@ -111,7 +111,7 @@ def segments(spark: SparkSession, folder: str) -> DataFrame:
     return lines.groupBy(
         F.col("l_returnflag").alias("data_source"),
         F.when(F.col("l_linestatus") == "O", "hot").otherwise("cold").alias("tier"),
-        F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("day"),
+        F.to_date("l_shipdate").cast("timestamp_ntz").alias("day"),
     ).agg(F.sum("l_quantity").alias("bytes"), F.count(F.lit(1)).alias("rows")).withColumns({
         "available": F.col("rows") % 5 != 0,
         "replicas": (F.col("rows") % 3 + 1).cast("int"),
