@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import codes, mixing, simhash, toxicity, winnowing
+from metricloom.llm import chaining, codes, language, licenses, mixing, resampling, rules, simhash, toxicity, winnowing
 from metricloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,17 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query()
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licenses(table(spark, folder, "documents")).select(
+        "doc_id", "license", "containment", "first_word", "n_windows")
+
+
+@query()
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return chaining.passages(table(spark, folder, "documents"))
+
+
 OP4 = r"""
 with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
                   md5(coalesce(cast(doc_id as varchar), '')) as k from documents),
@@ -88,6 +99,49 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+OP5 = r"""
+with d as (select doc_id, lang, source, row_number() over () as r, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+win as (select r, i, array_to_string(w[i:i + 4], ' ') as win from (select r, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
+twice as (select r, i from win join (select r, win from win group by r, win having count(*) > 1) using (r, win)),
+rep as (select r, count(distinct p) as n from (select r, unnest(range(i, i + 5)) as p from twice) group by r),
+m as (select r, doc_id, lang, source, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+             cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(lines) as bigint) as n_lines,
+             cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words
+      from w left join rep using (r)),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m),
+v as (select r, doc_id, lang, source, base_failed, unnest([
+        {'m': 'word_length', 'v': 1000 * word_chars // greatest(n_words, 1)}, {'m': 'symbols', 'v': 1000 * n_symbols // greatest(n_words, 1)},
+        {'m': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1)}, {'m': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1)}]) as x from b),
+bins as (select lang, source, x.m as m, (x.v >> greatest(length(bin(x.v)) - 7, 0)) << greatest(length(bin(x.v)) - 7, 0) as bin, count(*) as n
+         from v where not base_failed group by all),
+all_bins as (select 'own' as kind, lang, source, m, bin, n from bins union all
+             select 'lang', lang, null, m, bin, sum(n) from bins group by lang, m, bin union all
+             select 'all', null, null, m, bin, sum(n) from bins group by m, bin),
+upto as (select *, sum(n) over (partition by kind, lang, source, m order by bin) as upto, sum(n) over (partition by kind, lang, source, m) as n_rows from all_bins),
+q as (select kind, lang, source, m, max(n_rows) as n_rows, min(case when 4 * upto >= n_rows then bin end) as q1,
+             min(case when 4 * upto >= 3 * n_rows then bin end) as q3 from upto group by kind, lang, source, m),
+p as (select o.lang, o.source, o.m,
+             case when o.n_rows >= 100 then o.q1 when l.n_rows >= 100 then l.q1 else a.q1 end as q1,
+             case when o.n_rows >= 100 then o.q3 when l.n_rows >= 100 then l.q3 else a.q3 end as q3
+      from q o join q l on l.kind = 'lang' and l.lang is not distinct from o.lang and l.m = o.m join q a on a.kind = 'all' and a.m = o.m
+      where o.kind = 'own'),
+f as (select *, q3 + 3 * (q3 - q1) + case m when 'word_length' then 300 when 'symbols' then 100 when 'dup_lines' then 200 else 50 end as high,
+             case when m = 'word_length' then q1 - 3 * (q3 - q1) - 300 end as low from p),
+bad as (select distinct v.r from v join f on v.lang is not distinct from f.lang and v.source is not distinct from f.source and v.x.m = f.m
+        where v.x.v > f.high or v.x.v < f.low)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and r not in (select r from bad) as kept from b
+"""
+
+
+@query(OP5)
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judged(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query()
 def op6_token_codes(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "token-codes")
@@ -95,12 +149,23 @@ def op6_token_codes(spark: SparkSession, folder: str) -> DataFrame:
     return codes.read_documents(spark, path)
 
 
+@query()
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    found = language.predictions(table(spark, folder, "documents"))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     found = toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@query()
+def op9_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query()
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select(
