@@ -68,7 +68,7 @@ def order_key(doc_id: Column) -> Column:
 def due(offset: Column, quota: Column, slope: Column) -> Column:
     """The moment in 0 to 1 at which a source's demand, t + slope * (t * t - t) of its quota, reaches ``offset``."""
     u, flat = offset / quota, F.lit(1.0) - slope
-    return F.lit(2.0) * u / (flat + F.sqrt(flat * flat + F.lit(4.0) * slope * u))
+    return F.when(u > 0, F.lit(2.0) * u / (flat + F.sqrt(flat * flat + F.lit(4.0) * slope * u))).otherwise(0.0)
 
 
 def mixture(rows: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float = 2.0) -> DataFrame:
