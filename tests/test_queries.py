@@ -6,8 +6,8 @@ import __spark_entry__ as contract
 from metricloom import plans
 from tests.compare import database, difference
 
-QUERIES = contract.queries()
-STATEMENTS = contract.oracle_sql()
+QUERIES = plans.queries()
+STATEMENTS = plans.statements()
 
 
 @pytest.fixture(scope="module")
