@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,11 @@ from metricloom.session import stored
 
 SHARD_TOKENS = 1 << 18
 BLOCK = 512
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 _COUNTS = np.array([bin(i).count("1") for i in range(256)], np.uint32)
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-WORD = re.compile(f" ?[{LETTERS}]+")
 # a byte-level pre-tokenizer always cuts here: before a lone blank, after a word, around a lone line end
-LONE = re.compile(r"^\s|\s$|\s\s")
 BLANK = re.compile(r"(?<=\S)(?= \S)")
 INNER = re.compile(rf"(?<=[{LETTERS}])(?=[.,])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
@@ -104,6 +103,42 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+class _NotLone(Exception):
+    """White space stands beside a blank, so the text must be cut with more care."""
+
+
+class _Pieces(dict):
+    """Ids, as bytes, of what stands between blanks, with the blank before it; made when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+        self.marks: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        """What is cut inside of a piece: a word, kept as the piece it is, or anything else."""
+        if part[0] == " " and part[1:].isalpha():
+            return self[part[1:]]
+        found = self.marks.get(part)
+        if found is None:
+            if len(self.marks) >= CACHED_WORDS // 8:
+                self.marks.clear()
+            found = self.marks[part] = self.make(part)
+        return found
+
+    def __missing__(self, piece: str) -> bytes:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise _NotLone
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        if piece.isalpha():
+            found = self.make(" " + piece)
+        else:
+            found = b"".join(map(self.part, INNER.split(" " + piece)))
+        self[piece] = found
+        return found
+
+
 class Encoder:
     """A byte-level tokenizer that tokenizes a word once and keeps its ids as bytes.
 
@@ -117,39 +152,33 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = self.tokenizer.model
         self.characters = dict(enumerate(_byte_characters()))
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.blank = self.characters[32]
+        self.pieces = _Pieces(self.word)
 
     def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if WORD.fullmatch(word):
-                written = word.encode().decode("latin-1").translate(self.characters)
-                ids = [token.id for token in self.model.tokenize(written)]
-            else:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            found = self.words[word] = np.array(ids, "<u4").tobytes()
-        return found
-
-    def learn(self, pieces: list[str], blank: str) -> None:
-        if len(self.words) > CACHED_WORDS or len(self.pieces) > CACHED_WORDS:
-            self.words, self.pieces = {}, {}
-        for piece in pieces:
-            self.pieces[piece] = b"".join([self.word(w) for w in INNER.split(blank + piece)])
+        """The ids of a part that the pre-tokenizer cuts off; letters are one part, which the model takes as it is."""
+        letters = word[1:] if word[:1] == " " else word
+        if not letters.isalpha():
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        elif word.isascii():
+            ids = [token.id for token in self.model.tokenize(word.replace(" ", self.blank))]
+        else:
+            written = word.encode().decode("latin-1").translate(self.characters)
+            ids = [token.id for token in self.model.tokenize(written)]
+        return array("I", ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        """The ids of a text, 4 bytes each."""
+        """The ids of a text, 4 bytes each, in the machine's order."""
         if not text:
             return b""
-        if LONE.search(text):
-            return b"".join([self.word(w) for piece in BLANK.split(text) for w in INNER.split(piece)])
         first, *rest = text.split(" ")
-        found = list(map(self.pieces.get, rest))
-        if None in found:
-            missing = {p for p, f in zip(rest, found, strict=True) if f is None}
-            self.learn(missing, " ")
-            found = [self.pieces.get(p) or self.word(" " + p) for p in rest]
-        return b"".join([self.word(w) for w in INNER.split(first)]) + b"".join(found)
+        try:
+            if not first or first[-1].isspace():
+                raise _NotLone
+            tail = b"".join(map(self.pieces.__getitem__, rest))
+        except _NotLone:
+            return b"".join([self.word(w) for piece in BLANK.split(text) for w in INNER.split(piece)])
+        return b"".join([self.word(w) for w in INNER.split(first)]) + tail
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -179,12 +208,12 @@ def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int = 0, s
         return pa.RecordBatch.from_arrays([
             pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([int(ends[-1])], pa.int64()),
             pa.array([ids], pa.list_(pa.int64())), pa.array([ends.tolist()], pa.list_(pa.int64())),
-            pa.array([encode(np.frombuffer(b"".join(held), "<u4"))], pa.binary()),
+            pa.array([encode(np.frombuffer(b"".join(held), np.uint32))], pa.binary()),
         ], ["part", "shard", "n_tokens", "doc_ids", "ends", "codes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, number = _encoder(shared.value), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        end = array("I", [end_id]).tobytes()
         ids, held, size = [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
