@@ -62,16 +62,19 @@ def bags(texts: pa.Array) -> Bags:
     starts, ends, row = _places(chars)
     data = np.ascontiguousarray(chars.codes).view(np.uint8)
     _, at, words = np.unique(S.span_hashes(data, 4 * starts, 4 * ends), return_index=True, return_inverse=True)
-    lists: list[list[np.ndarray]] = [[] for _ in at]
-    for bucket, counts in C.grams(chars, SIZES, BITS):
-        for i, (s, e) in enumerate(zip(starts[at].tolist(), ends[at].tolist(), strict=True)):
-            own = bucket[s - 1:e - 1]
-            lists[i].append(own[counts[s - 1:e - 1]])
-    flat = [np.concatenate(x) for x in lists]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int64)
+    # n-grams of the distinct words alone, each word a row of its own
+    own = C.characters(pa.array(
+        [chars.codes[a:b].tobytes().decode("utf-32-le") for a, b in zip(starts[at], ends[at], strict=True)], pa.string()))
+    parts = []
+    for bucket, counts in C.grams(own, SIZES, BITS):
+        places = np.flatnonzero(counts)
+        parts.append((np.searchsorted(own.first, places, "right") - 1, bucket[places]))
+    word = np.concatenate([p[0] for p in parts])
+    order = np.argsort(word, kind="stable")
+    grams = np.concatenate([p[1] for p in parts])[order]
     passages = _passages(row, len(chars))
-    grams = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-    return Bags(grams, first, words, passages, row[passages], len(chars))
+    return Bags(
+        grams, np.searchsorted(word[order], np.arange(len(at) + 1)), words, passages, row[passages], len(chars))
 
 
 def _sums(values: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
