@@ -337,20 +337,23 @@ class AlarmRule:
     evaluations: int
     missing: str
     dims: dict = field(default_factory=dict, hash=False)
+    # "a/b": the share of the first metric in the second, in percent
+    ratio: bool = False
 
 
-# The alarm catalogue. Ratio metrics are built by ``metrics.ratio``.
+# The alarm catalogue.
 ALARM_RULES = (
-    AlarmRule("database cpu", "CPUUtilization", "avg", "5 minutes", ">", 75, 3, 5, "not_breaching"),
+    AlarmRule("database cpu", "CPUUtilization", "avg", "5 minutes", ">", 75, 3, 5, "not_breaching", {"namespace": "database"}),
     AlarmRule("coordination latency", "zk_max_latency", "p99", "5 minutes", ">", 3000, 3, 5, "missing"),
     AlarmRule("coordination queue", "zk_outstanding_requests", "p99", "5 minutes", ">", 50, 3, 3, "missing"),
     AlarmRule("lb 4xx", "HTTPCode_ELB_4XX_Count", "sum", "5 minutes", ">", 50, 3, 5, "not_breaching"),
     AlarmRule("lb 5xx", "HTTPCode_ELB_5XX_Count", "sum", "5 minutes", ">", 10, 3, 5, "not_breaching"),
     AlarmRule("healthy hosts", "HealthyHostCount", "avg", "5 minutes", "<=", 1, 3, 5, "missing"),
-    AlarmRule("query failures", "query/failed/count", "avg", "5 minutes", ">", 5, 3, 5, "not_breaching"),
-    AlarmRule("group cpu", "CPUUtilization", "avg", "1 minute", ">", 85, 3, 5, "not_breaching"),
-    AlarmRule("group memory", "mem_used/mem_total", "avg", "1 minute", ">", 85, 3, 5, "not_breaching"),
-    AlarmRule("group disk", "disk_used/disk_total", "sum", "1 minute", ">", 85, 3, 5, "not_breaching"),
+    AlarmRule("query failures", "query/failed/count", "avg", "5 minutes", ">", 5, 3, 5, "not_breaching",
+              {"service": "historical"}),
+    AlarmRule("group cpu", "CPUUtilization", "avg", "1 minute", ">", 85, 3, 5, "not_breaching", {"namespace": "group"}),
+    AlarmRule("group memory", "mem_used/mem_total", "avg", "1 minute", ">", 85, 3, 5, "not_breaching", ratio=True),
+    AlarmRule("group disk", "disk_used/disk_total", "sum", "1 minute", ">", 85, 3, 5, "not_breaching", ratio=True),
     AlarmRule("failed nodes", "cluster_failed_node_count", "avg", "5 minutes", ">", 0, 3, 5, "not_breaching"),
     AlarmRule("pod count", "service_number_of_running_pods", "avg", "5 minutes", "<", 1, 3, 5, "not_breaching"),
     AlarmRule("pod cpu", "pod_cpu_utilization", "avg", "5 minutes", ">", 85, 3, 5, "not_breaching"),

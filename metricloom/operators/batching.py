@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from metricloom.operators.prefix import row_numbers
-from metricloom.session import settle
+from metricloom.session import settle, stored
 
 BATCH_SIZE = 100
 QUEUE_BYTES = 100_000_000
+# the longest list of items that one task folds in order
+FOLD_ROWS = 1_000
 # The loss counters.
 LOSS_COUNTERS = ("MetricLost", "InvalidLost", "AlertLost", "Fatal")
 
@@ -46,61 +50,67 @@ def datum_text(columns: list[Column]) -> Column:
 
 
 def admit(items: DataFrame, keys: list[str], order: list[str], block: Column, size: str = "size",
-          bound: int = QUEUE_BYTES) -> DataFrame:
+          bound: int = QUEUE_BYTES, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Add ``admitted``: an item enters iff used + size <= bound, a rejected one uses nothing.
 
     ``order`` is unique within ``keys`` and its last column alone identifies a row there;
     ``block`` never decreases along ``order``. Keys and order hold no nulls.
 
-    The decision is sequential, but little of it has to be taken in sequence. Up to the first
-    rejection the used bytes are a running sum, so block totals admit whole blocks unseen and
-    only the block holding the first rejection is scanned. From then on the free space ``r``
-    only shrinks, so of the later items of one size ``s`` just the first ``floor(r / s)`` can
-    still enter: those few are folded in order, and all others are out.
+    The decision is sequential, but it moves in stretches. With ``free`` bytes left, only items of at
+    most that size can enter, and all of them do up to the first that no longer fits: block totals
+    admit whole blocks unseen, and only the block of that item is scanned. It leaves less free space,
+    with which the next stretch begins behind it. A key with no more than ``fold_rows`` items to look at
+    is folded in order instead; no list is longer than that.
     """
     item = order[-1]
-    rows = items.withColumn("__block", block)
-    earlier = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    totals = rows.groupBy(*keys, "__block").agg(F.sum(size).alias("__total")).withColumn(
-        "__before", F.coalesce(F.sum("__total").over(earlier), F.lit(0)))
-    full = settle(totals.where(F.col("__before") + F.col("__total") > bound), "full-blocks")
-    if full.isEmpty():
-        return items.withColumn("admitted", F.lit(True))
-
-    # the one block per key the first rejection lies in
-    inside = W.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    crossing = rows.join(full.where(F.col("__before") <= bound), [*keys, "__block"]).withColumn(
-        "__used", F.col("__before") + F.sum(size).over(inside))
     place = F.struct(*order)
-    first = settle(crossing.where(F.col("__used") > bound).groupBy(*keys).agg(
-        F.min(place).alias("__first"),
-        (F.lit(bound) - F.min_by(F.col("__used") - F.col(size), place)).alias("__free"),
-    ), "first-rejections")
-
-    late = rows.join(full.select(*keys, "__block"), [*keys, "__block"]).join(first, keys).where(
-        (place > F.col("__first")) & (F.col(size) > 0) & (F.col(size) <= F.col("__free")))
-    taken = settle(_fold(late, keys, order, item, size), "late-admissions")
-
-    placed = rows.join(full.select(*keys, "__block", F.lit(True).alias("__full")), [*keys, "__block"], "left")
-    decided = placed.join(first.select(*keys, "__first"), keys, "left").join(
-        taken.withColumn("__late", F.lit(True)), [*keys, item], "left")
-    enters = (
-        F.col("__full").isNull() | (F.col(size) == 0)
-        | F.coalesce(place < F.col("__first"), F.lit(True)) | F.coalesce("__late", F.lit(False))
-    )
-    return decided.withColumn("admitted", enters).select(*items.columns, "admitted")
-
-
-def _fold(late: DataFrame, keys: list[str], order: list[str], item: str, size: str) -> DataFrame:
-    """The late items that still fit, from the at most ``sum(free / s)`` candidates of each key."""
-    can_enter = F.floor(F.col("__free") / F.col(size))
+    rows = stored(items.select(*keys, *order, F.col(size).alias("__size"), block.alias("__block")).where("__size > 0"), "admission")
+    place_type = rows.select(place.alias("p")).schema["p"].dataType
+    state = rows.select(*keys).distinct().select(
+        *keys, F.lit(None).cast(place_type).alias("__after"), F.lit(bound).cast("bigint").alias("__free"))
+    stretches, folded = [], []
+    while True:
+        state = settle(state, "admission-state")
+        if state.isEmpty():
+            break
+        behind = F.col("__after").isNull() | (place > F.col("__after"))
+        able = rows.join(state, keys).where(behind & (F.col("__size") <= F.col("__free")))
+        blocks = able.groupBy(*keys, "__block").agg(F.sum("__size").alias("__total"), F.count(F.lit(1)).alias("__n"))
+        whole, earlier = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+        blocks = settle(blocks.withColumns({
+            "__before": F.coalesce(F.sum("__total").over(earlier), F.lit(0)), "__left": F.sum("__n").over(whole),
+        }), "admission-blocks")
+        few = blocks.where(F.col("__left") <= fold_rows).select(*keys).distinct()
+        # a key that is folded admits nothing by size alone from here on
+        ends = state.join(few.withColumn("__few", F.lit(True)), keys, "left")
+        stretches.append(ends.select(*keys, "__after", F.when(F.col("__few"), 0).otherwise(F.col("__free")).alias("__free")))
+        folded.append(_fold(able.join(few, keys, "left_semi"), keys, order, item))
+
+        crossing = blocks.where((F.col("__left") > fold_rows)).join(state, keys).where(
+            (F.col("__before") <= F.col("__free")) & (F.col("__before") + F.col("__total") > F.col("__free")))
+        inside = W.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        scanned = able.join(crossing.select(*keys, "__block", "__before"), [*keys, "__block"]).withColumn(
+            "__used", F.col("__before") + F.sum("__size").over(inside))
+        state = scanned.where("__used > __free").groupBy(*keys).agg(
+            F.min(place).alias("__after"),
+            F.min_by(F.col("__free") - F.col("__used") + F.col("__size"), place).alias("__free"))
+
+    if not stretches:
+        return items.withColumn("admitted", F.lit(True))
+    spans = reduce(DataFrame.unionByName, stretches).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("__after", "__free"))).alias("__spans"))
+    late = settle(reduce(DataFrame.unionByName, folded), "late-admissions").withColumn("__late", F.lit(True))
+    decided = items.join(spans, keys, "left").join(late, [*keys, item], "left")
+    # the stretch an item lies in is the last that begins before it; what ended one is out
+    begun = F.filter("__spans", lambda s: s["__after"].isNull() | (place > s["__after"]))
+    ended = F.exists("__spans", lambda s: F.coalesce(s["__after"] == place, F.lit(False)))
+    free = F.array_max(F.transform(begun, lambda s: F.struct(s["__after"], s["__free"])))["__free"]
+    enters = (F.col(size) == 0) | F.coalesce("__late", F.lit(False)) | ((F.col(size) <= free) & ~ended)
+    return decided.withColumn("admitted", F.coalesce(enters, F.lit(False))).select(*items.columns, "admitted")
 
-    def nth(*partition) -> Column:
-        return F.row_number().over(W.partitionBy(*keys, *partition).orderBy(*order))
 
-    # first within a block, then over the survivors of all blocks
-    local = late.withColumn("__nth", nth(size, "__block")).where(F.col("__nth") <= can_enter)
-    candidates = local.withColumn("__nth", nth(size)).where(F.col("__nth") <= can_enter)
+def _fold(able: DataFrame, keys: list[str], order: list[str], item: str) -> DataFrame:
+    """The items of short keys that enter, taken one after another."""
 
     def step(state, one):
         fits = one["size"] <= state["free"]
@@ -109,11 +119,11 @@ def _fold(late: DataFrame, keys: list[str], order: list[str], item: str, size: s
             F.when(fits, F.concat(state["taken"], F.array(one["item"]))).otherwise(state["taken"]).alias("taken"),
         )
 
-    listed = candidates.groupBy(*keys, "__free").agg(F.array_sort(F.collect_list(
-        F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(size).alias("size"),
+    listed = able.groupBy(*keys, "__free").agg(F.array_sort(F.collect_list(
+        F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("__size").alias("size"),
                  F.col(item).alias("item"))
     )).alias("__items"))
-    item_type = late.schema[item].dataType.simpleString()
+    item_type = able.schema[item].dataType.simpleString()
     start = F.struct(F.col("__free").alias("free"), F.array().cast(f"array<{item_type}>").alias("taken"))
     return listed.select(*keys, F.explode(F.aggregate("__items", start, step)["taken"]).alias(item))
 

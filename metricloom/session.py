@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,24 +42,49 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only for local masters."""
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, as in tests, a folder
+    of this machine, and only if the master is local and so has no other machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = os.path.join(tempfile.gettempdir(), f"metricloom-{os.getpid()}")
-    return root
+    return os.path.join(tempfile.gettempdir(), f"metricloom-{os.getpid()}")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/metricloom/{label}-{uuid.uuid4().hex}"
 
 
+_TEMPORARY: ContextVar[list[str] | None] = ContextVar("temporary tables", default=None)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Remove the tables stored inside the block when it ends; their readers must be done by then."""
+    paths: list[str] = []
+    token = _TEMPORARY.set(paths)
+    try:
+        yield
+    finally:
+        _TEMPORARY.reset(token)
+        for path in paths:
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote, in whatever file system it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: no lineage to recompute when executors
     are lost, and no second run of a costly plan."""
     path = scratch_path(df.sparkSession, label)
+    paths = _TEMPORARY.get()
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

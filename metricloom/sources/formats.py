@@ -57,7 +57,8 @@ def metric_events(spark: SparkSession, path: str, format: str = "json") -> DataF
 
 def stream_events(spark: SparkSession, path: str, schema, format: str = "parquet", glob: str | None = None,
                   files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.format(format).schema(schema)
+    """A file stream of ``path``: one file, or a folder with files at any depth."""
+    reader = spark.readStream.format(format).schema(schema).option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_trigger:

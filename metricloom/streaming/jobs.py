@@ -19,10 +19,11 @@ from metricloom.operators import logs as L
 from metricloom.operators import normalize as N
 from metricloom.operators.olap import write_segments
 from metricloom.operators.prefix import time_block
-from metricloom.session import scratch_path
+from metricloom.session import discard, scratch_path, stored, temporary_tables
 
 FLUSH = "10 seconds"
 LOG_FLUSH = "5 seconds"
+LOSS_PERIOD = "1 minute"
 
 
 def with_watermark(rows: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -43,11 +44,17 @@ def start_batches(rows: DataFrame, write, checkpoint: str, trigger: dict | None
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def drain(rows: DataFrame, label: str) -> DataFrame:
-    """Run until the input is used up and read what was written."""
+def drain(rows: DataFrame, label: str, arrivals=(None,)) -> DataFrame:
+    """Run until the input is used up and read what was written.
+
+    ``arrivals`` are calls that bring more input; after each the query is started again from its checkpoint.
+    """
     spark = rows.sparkSession
     path = scratch_path(spark, label)
-    start(rows, path, f"{path}-checkpoint").awaitTermination()
+    for arrive in arrivals:
+        if arrive:
+            arrive()
+        start(rows, path, f"{path}-checkpoint").awaitTermination()
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -93,29 +100,43 @@ def loss_counts(events: DataFrame, period: str, delay: str) -> DataFrame:
 
 def flush_datums(events: DataFrame, path: str, checkpoint: str, settings: EmitterSettings, size: Column,
                  flush: str = FLUSH, block: str = "10 milliseconds", bound: int = B.QUEUE_BYTES,
-                 batch_size: int = B.BATCH_SIZE, trigger: dict | None = None) -> StreamingQuery:
-    """Normalise, admit by bytes, number into requests and write to both sinks.
+                 batch_size: int = B.BATCH_SIZE, trigger: dict | None = None,
+                 loss_period: str = LOSS_PERIOD) -> StreamingQuery:
+    """Normalise, admit by bytes, number into requests and write to both sinks; count what is lost.
 
     A micro-batch is one turn of the emitter. Its datums go to ``path/requests`` and, under
-    their mapped dimensions, to ``path/statsd``. Every epoch overwrites its own folder, so a
-    repeated epoch after a failure leaves one copy.
+    their mapped dimensions, to ``path/statsd``. ``path/losses`` has the four loss counters of every
+    ``loss_period`` the batch spans, zeros included; a period that several batches touch has a row
+    from each, to be added up. Every epoch overwrites its own folder, so a repeated epoch after a
+    failure leaves one copy.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        sizes = N.datums(batch, settings).withColumns({"size": size, "flush": F.window("ts", flush)["start"]})
+        with temporary_tables(batch.sparkSession):
+            flush_one(batch, epoch)
+
+    def flush_one(batch: DataFrame, epoch: int) -> None:
+        parsed = batch.persist()
+        sizes = N.datums(parsed, settings).withColumns({"size": size, "flush": F.window("ts", flush)["start"]})
         datums = sizes.persist()
         try:
-            admitted = B.admit(
+            decided = stored(B.admit(
                 datums, ["queue", "service", "flush"], ["ts", "event_id"], time_block(F.col("ts"), block),
                 bound=bound,
-            ).where("admitted")
+            ), "decided")
+            unusable = N.dispatch(parsed).where("route in ('invalid', 'fatal')").select("ts", "route", F.lit(False).alias("lost"))
+            offered = decided.select("ts", F.col("queue").alias("route"), (~F.col("admitted")).alias("lost"))
+            B.loss_counters(unusable.unionByName(offered), loss_period).write.mode("overwrite").parquet(
+                f"{path}/losses/epoch={epoch}")
+            admitted = decided.where("admitted")
             requests = B.request_batches(admitted.drop("flush", "admitted"), flush, block, batch_size)
             requests.write.mode("overwrite").parquet(f"{path}/requests/epoch={epoch}")
-            statsd = N.statsd_rows(batch, settings).select(
+            statsd = N.statsd_rows(parsed, settings).select(
                 "event_id", "metric", "rollup_kind", "value", "dims", "tags", "host_tag")
             statsd.write.mode("overwrite").parquet(f"{path}/statsd/epoch={epoch}")
         finally:
             datums.unpersist()
+            parsed.unpersist()
 
     return start_batches(events, write, checkpoint, trigger or {"processingTime": flush})
 
@@ -138,32 +159,35 @@ def watch_alarms(points: DataFrame, keys: list[str], rules, period: str, path: s
                  trigger: dict | None = None) -> StreamingQuery:
     """Append the state changes each batch of closed windows brings.
 
-    ``points`` are closed windows (append mode) with ``alarm``, ``keys``, ``bucket``, ``value``.
-    Between epochs only the newest N + 1 points of every series are carried, so an epoch costs
-    series x N rows however long the stream has run.
+    ``points`` are closed windows (append mode) with ``alarm``, ``keys``, ``bucket``, ``value``. All
+    series are evaluated up to the newest closed window of any, so one that stops reporting changes its
+    state too. Between epochs only the newest N + 1 points of every series and the time reached are
+    carried, so an epoch costs series x N rows however long the stream has run.
     """
     series = ["alarm", *keys]
     carried = max(rule.evaluations for rule in rules) + 1
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch.select(*series, "bucket", "value", F.lit(True).alias("new"))
+        known = batch.select(*series, F.col("bucket").cast("timestamp_ntz"), "value", F.lit(None).cast("timestamp_ntz").alias("reached"))
         if epoch > 0:
-            tail = spark.read.parquet(f"{path}/tail/epoch={epoch - 1}").withColumn("new", F.lit(False))
-            new = tail.unionByName(new)
-        known = new.persist()
+            known = spark.read.parquet(f"{path}/tail/epoch={epoch - 1}").unionByName(known)
+        known = known.persist()
         try:
-            seen = known.groupBy(*series).agg(
-                F.max(F.when(~F.col("new"), F.col("bucket"))).alias("__seen"), F.bool_or("new").alias("__touched"))
-            changes = A.transitions(A.evaluate(known.drop("new"), keys, rules, period), keys)
-            fresh = changes.join(seen.where("__touched"), series).where(
-                F.col("__seen").isNull() | (F.col("bucket") > F.col("__seen")))
-            fresh.drop("__seen", "__touched").write.mode("overwrite").parquet(f"{path}/transitions/epoch={epoch}")
-            newest = W.partitionBy(*series).orderBy(F.desc("bucket"))
-            known.withColumn("__age", F.row_number().over(newest)).where(F.col("__age") <= carried).drop(
-                "__age", "new").write.mode("overwrite").parquet(f"{path}/tail/epoch={epoch}")
+            reached, newest = known.agg(F.max("reached"), F.max("bucket")).first()
+            since = None if reached is None else F.lit(reached) - F.expr(f"INTERVAL {period}") * carried
+            states = A.evaluate(known.drop("reached"), keys, rules, period, newest if reached is None else max(reached, newest), since)
+            changes = A.transitions(states, keys)
+            fresh = changes if reached is None else changes.where(F.col("bucket") > F.lit(reached))
+            fresh.write.mode("overwrite").parquet(f"{path}/transitions/epoch={epoch}")
+            youngest = W.partitionBy(*series).orderBy(F.desc("bucket"))
+            tail = known.withColumn("__age", F.row_number().over(youngest)).where(F.col("__age") <= carried).drop("__age")
+            upto = F.greatest(F.lit(reached).cast("timestamp_ntz"), F.lit(newest).cast("timestamp_ntz"))
+            tail.withColumn("reached", upto).write.mode("overwrite").parquet(f"{path}/tail/epoch={epoch}")
         finally:
             known.unpersist()
+        if epoch > 1:
+            discard(spark, f"{path}/tail/epoch={epoch - 2}")
 
     return start_batches(points, write, checkpoint, trigger)
 

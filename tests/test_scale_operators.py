@@ -87,10 +87,10 @@ def fold(sizes, bound):
     return flags
 
 
-def admitted(spark, groups, bound, block=10):
+def admitted(spark, groups, bound, block=10, fold_rows=B.FOLD_ROWS):
     rows = [(key, i, size) for key, sizes in groups.items() for i, size in enumerate(sizes)]
     df = spark.createDataFrame(rows, "key string, item bigint, size bigint").repartition(4)
-    done = B.admit(df, ["key"], ["item"], prefix.number_block(F.col("item"), block), bound=bound)
+    done = B.admit(df, ["key"], ["item"], prefix.number_block(F.col("item"), block), bound=bound, fold_rows=fold_rows)
     out = {}
     for r in done.orderBy("key", "item").collect():
         out.setdefault(r["key"], []).append(r["admitted"])
@@ -116,7 +116,7 @@ def test_admission_matches_fold(spark, seed):
     }
     bound = rng.choice([300, 997, 650])
     want = {key: fold(sizes, bound) for key, sizes in groups.items()}
-    assert admitted(spark, groups, bound, rng.choice([1, 8, 64, 10_000])) == want
+    assert admitted(spark, groups, bound, rng.choice([1, 8, 64, 10_000]), [0, 20, 100, 1_000][seed]) == want
 
 
 def test_batches_of_one_hundred(spark):

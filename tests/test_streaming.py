@@ -79,32 +79,54 @@ def test_streamed_alarms_equal_batch_alarms(spark, tmp_path, seed):
     schema = "alarm string, part int, bucket timestamp_ntz, value double"
     rows = [(rule.name, part, at(5 * i), rng.uniform(0, 10)) for rule in rules for part in (1, 2)
             for i in range(60) if rng.random() < (0.7 if part == 1 else 0.15)]
-    rows.sort(key=lambda r: r[2])
-    for n, start in enumerate(range(0, len(rows), 25)):
-        put(spark, tmp_path / "in", f"{n:02d}", rows[start:start + 25], schema)
-    # a bucket must not be split over files with an earlier one behind it: files follow time
+    # one series stops early; the others go on
+    rows += [("a", 3, at(5 * i), 9.0) for i in range(10)]
+    # closed windows of one time come together
+    for n, start in enumerate(range(0, 60, 13)):
+        put(spark, tmp_path / "in", f"{n:02d}", [r for r in rows if at(5 * start) <= r[2] < at(5 * (start + 13))], schema)
     J.watch_alarms(stream(spark, tmp_path / "in", schema), ["part"], rules, "5 minutes", f"{tmp_path}/out",
                    f"{tmp_path}/ck").awaitTermination()
     streamed = J.read_epochs(spark, f"{tmp_path}/out/transitions")
-    batch = A.transitions(A.evaluate(spark.createDataFrame(rows, schema), ["part"], rules, "5 minutes"), ["part"])
+    until = max(r[2] for r in rows)
+    batch = A.transitions(A.evaluate(spark.createDataFrame(rows, schema), ["part"], rules, "5 minutes", until), ["part"])
     key = lambda r: (r["alarm"], r["part"], r["bucket"], r["previous"], r["state"])
     assert sorted(map(key, streamed.collect())) == sorted(map(key, batch.collect()))
+    stopped = [r for r in streamed.collect() if r["alarm"] == "a" and r["part"] == 3]
+    assert max(stopped, key=lambda r: r["bucket"])["state"] == "INSUFFICIENT_DATA"
 
 
 def test_flush_admits_by_bytes_and_survives_a_repeat(spark, tmp_path):
-    rows = [(i, "metric", T0 + datetime.timedelta(seconds=i), "svc", "h", "query/time", 1.0, None, None, [])
-            for i in range(30)]
+    def row(i, kind, metric, second):
+        return i, kind, T0 + datetime.timedelta(seconds=second), "svc", "h", metric, 1.0, None, None, []
+
+    rows = [row(i, "metric", "query/time", i) for i in range(30)]
+    rows += [row(100 + i, "alert", None, 5) for i in range(6)] + [row(200, "other", None, 70), row(201, "metric", None, 3)]
     put(spark, tmp_path / "in", "a", rows, EVENT_SCHEMA)
     for _ in range(2):
         J.flush_datums(
             stream(spark, tmp_path / "in", EVENT_SCHEMA), f"{tmp_path}/out", f"{tmp_path}/ck", EmitterSettings(),
             F.lit(10).cast("bigint"), bound=45, batch_size=3, trigger={"availableNow": True},
         ).awaitTermination()
-    sent = J.read_epochs(spark, f"{tmp_path}/out/requests").collect()
+    every = J.read_epochs(spark, f"{tmp_path}/out/requests").collect()
+    sent = [r for r in every if r["queue"] == "metric"]
     # four of the ten datums of every 10 s flush fit into 45 bytes
     assert sorted(r["event_id"] for r in sent) == [0, 1, 2, 3, 10, 11, 12, 13, 20, 21, 22, 23]
     assert {r["event_id"]: r["batch_id"] for r in sent}[13] == 1
     assert J.read_epochs(spark, f"{tmp_path}/out/statsd").count() == 30
+    lost = {(r["bucket"].minute, r["counter"].split(".")[1]): r["value"] for r in J.read_epochs(spark, f"{tmp_path}/out/losses").collect()}
+    assert len(lost) == 8
+    assert {k: v for k, v in lost.items() if v} == {
+        (0, "MetricLost"): 18, (0, "AlertLost"): 2, (1, "InvalidLost"): 1, (0, "Fatal"): 1}
+    # sent + lost = offered
+    assert len(every) + sum(lost.values()) == len(rows)
+
+
+def test_streams_read_a_file_and_a_folder_of_files(spark, folder, tmp_path):
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/table/events.parquet")
+    for base in (folder, str(tmp_path / "table")):
+        rows = formats.stream_events(spark, f"{base}/events.parquet", events.schema)
+        assert J.drain(rows, "whole").count() == events.count()
 
 
 def test_tail_routes_lines(spark, tmp_path):
