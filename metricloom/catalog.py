@@ -10,255 +10,255 @@ from pyspark.sql import DataFrame, SparkSession
 from metricloom.session import literal_table
 
 # Metric name and unit, one per line.
-METRIC_UNITS = """
-jvm/gc/mem/capacity Bytes
-jvm/gc/mem/used Bytes
-jvm/gc/mem/init Bytes
-jvm/gc/mem/max Bytes
-jvm/gc/count Count
-jvm/gc/cpu Milliseconds
-jvm/mem/used Bytes
-jvm/mem/max Bytes
-jetty/numOpenConnections Count
-jetty/threadPool/total Count
-jetty/threadPool/idle Count
-jetty/threadPool/busy Count
-jetty/threadPool/queueSize Count
-query/cache/total/averageBytes Bytes
-query/cache/total/hitRate Percent
-query/cache/total/timeouts Count
-query/cache/total/errors Count
-query/cache/total/evictions Count
-query/cache/total/misses Count
-query/cache/total/hits Count
-query/cache/total/sizeBytes Bytes
-query/cache/total/numEntries Count
-query/cache/total/put/ok Count
-query/cache/total/put/error Count
-query/cache/total/put/oversized Count
-query/time Milliseconds
-query/bytes Bytes
-query/node/time Milliseconds
-query/node/bytes Bytes
-query/node/ttfb Milliseconds
-query/intervalChunk/time Milliseconds
-query/success/count Count
-query/failed/count Count
-query/interrupted/count Count
-query/count Count
-sqlQuery/time Milliseconds
-sqlQuery/bytes Bytes
-query/segment/time Milliseconds
-query/wait/time Milliseconds
-segment/scan/pending Count
-query/segmentAndCache/time Milliseconds
-query/cpu/time Microseconds
-segment/max Bytes
-segment/used Bytes
-segment/usedPercent Percent
-segment/pendingDelete Bytes
-segment/loadQueue/failed Count
-segment/loadQueue/count Count
-segment/size Bytes
-segment/count Count
-segment/assigned/count Count
-segment/moved/count Count
-segment/dropped/count Count
-segment/deleted/count Count
-segment/unneeded/count Count
-segment/loadQueue/size Count
-segment/dropQueue/count Count
-segment/unavailable/count Count
-segment/underReplicated/count Count
-tier/historical/count Count
-tier/replication/factor Count
-tier/required/capacity Bytes
-tier/total/capacity Bytes
-ingest/events/thrownAway Count
-ingest/events/unparseable Count
-ingest/events/processed Count
-ingest/rows/output Count
-ingest/persists/count Count
-ingest/persists/time Milliseconds
-ingest/persists/backPressure Milliseconds
-ingest/persists/failed Count
-ingest/handoff/failed Count
-ingest/merge/time Milliseconds
-ingest/handoff/count Count
-ingest/sink/count Count
-ingest/events/messageGap Milliseconds
-ingest/kafka/lag Count
-task/run/time Milliseconds
-segment/added/bytes Bytes
-segment/moved/bytes Bytes
-segment/nuked/bytes Bytes
-task/success/count Count
-task/failed/count Count
-task/running/count Count
-task/pending/count Count
-task/waiting/count Count
-taskSlot/total/count Count
-taskSlot/idle/count Count
-taskSlot/used/count Count
-taskSlot/lazy/count Count
-taskSlot/blacklisted/count Count
-"""
+METRIC_UNITS = (
+    ("jvm/gc/mem/capacity", "Bytes"),
+    ("jvm/gc/mem/used", "Bytes"),
+    ("jvm/gc/mem/init", "Bytes"),
+    ("jvm/gc/mem/max", "Bytes"),
+    ("jvm/gc/count", "Count"),
+    ("jvm/gc/cpu", "Milliseconds"),
+    ("jvm/mem/used", "Bytes"),
+    ("jvm/mem/max", "Bytes"),
+    ("jetty/numOpenConnections", "Count"),
+    ("jetty/threadPool/total", "Count"),
+    ("jetty/threadPool/idle", "Count"),
+    ("jetty/threadPool/busy", "Count"),
+    ("jetty/threadPool/queueSize", "Count"),
+    ("query/cache/total/averageBytes", "Bytes"),
+    ("query/cache/total/hitRate", "Percent"),
+    ("query/cache/total/timeouts", "Count"),
+    ("query/cache/total/errors", "Count"),
+    ("query/cache/total/evictions", "Count"),
+    ("query/cache/total/misses", "Count"),
+    ("query/cache/total/hits", "Count"),
+    ("query/cache/total/sizeBytes", "Bytes"),
+    ("query/cache/total/numEntries", "Count"),
+    ("query/cache/total/put/ok", "Count"),
+    ("query/cache/total/put/error", "Count"),
+    ("query/cache/total/put/oversized", "Count"),
+    ("query/time", "Milliseconds"),
+    ("query/bytes", "Bytes"),
+    ("query/node/time", "Milliseconds"),
+    ("query/node/bytes", "Bytes"),
+    ("query/node/ttfb", "Milliseconds"),
+    ("query/intervalChunk/time", "Milliseconds"),
+    ("query/success/count", "Count"),
+    ("query/failed/count", "Count"),
+    ("query/interrupted/count", "Count"),
+    ("query/count", "Count"),
+    ("sqlQuery/time", "Milliseconds"),
+    ("sqlQuery/bytes", "Bytes"),
+    ("query/segment/time", "Milliseconds"),
+    ("query/wait/time", "Milliseconds"),
+    ("segment/scan/pending", "Count"),
+    ("query/segmentAndCache/time", "Milliseconds"),
+    ("query/cpu/time", "Microseconds"),
+    ("segment/max", "Bytes"),
+    ("segment/used", "Bytes"),
+    ("segment/usedPercent", "Percent"),
+    ("segment/pendingDelete", "Bytes"),
+    ("segment/loadQueue/failed", "Count"),
+    ("segment/loadQueue/count", "Count"),
+    ("segment/size", "Bytes"),
+    ("segment/count", "Count"),
+    ("segment/assigned/count", "Count"),
+    ("segment/moved/count", "Count"),
+    ("segment/dropped/count", "Count"),
+    ("segment/deleted/count", "Count"),
+    ("segment/unneeded/count", "Count"),
+    ("segment/loadQueue/size", "Count"),
+    ("segment/dropQueue/count", "Count"),
+    ("segment/unavailable/count", "Count"),
+    ("segment/underReplicated/count", "Count"),
+    ("tier/historical/count", "Count"),
+    ("tier/replication/factor", "Count"),
+    ("tier/required/capacity", "Bytes"),
+    ("tier/total/capacity", "Bytes"),
+    ("ingest/events/thrownAway", "Count"),
+    ("ingest/events/unparseable", "Count"),
+    ("ingest/events/processed", "Count"),
+    ("ingest/rows/output", "Count"),
+    ("ingest/persists/count", "Count"),
+    ("ingest/persists/time", "Milliseconds"),
+    ("ingest/persists/backPressure", "Milliseconds"),
+    ("ingest/persists/failed", "Count"),
+    ("ingest/handoff/failed", "Count"),
+    ("ingest/merge/time", "Milliseconds"),
+    ("ingest/handoff/count", "Count"),
+    ("ingest/sink/count", "Count"),
+    ("ingest/events/messageGap", "Milliseconds"),
+    ("ingest/kafka/lag", "Count"),
+    ("task/run/time", "Milliseconds"),
+    ("segment/added/bytes", "Bytes"),
+    ("segment/moved/bytes", "Bytes"),
+    ("segment/nuked/bytes", "Bytes"),
+    ("task/success/count", "Count"),
+    ("task/failed/count", "Count"),
+    ("task/running/count", "Count"),
+    ("task/pending/count", "Count"),
+    ("task/waiting/count", "Count"),
+    ("taskSlot/total/count", "Count"),
+    ("taskSlot/idle/count", "Count"),
+    ("taskSlot/used/count", "Count"),
+    ("taskSlot/lazy/count", "Count"),
+    ("taskSlot/blacklisted/count", "Count"),
+)
 
 # Metric name, kind, kept dimensions, "range" where 0..1 becomes percent.
-ROLLUP_MAP = """
-query/time timer dataSource,type
-query/bytes count dataSource,type
-query/node/time timer server
-query/node/ttfb timer server
-query/node/bytes count server
-query/node/backpressure timer server
-query/segment/time timer -
-query/wait/time timer -
-segment/scan/pending gauge -
-query/segmentAndCache/time timer -
-query/cpu/time timer dataSource,type
-query/count count -
-query/success/count count -
-query/failed/count count -
-query/interrupted/count count -
-query/timeout/count count -
-query/cache/delta/numEntries count -
-query/cache/delta/sizeBytes count -
-query/cache/delta/hits count -
-query/cache/delta/misses count -
-query/cache/delta/evictions count -
-query/cache/delta/hitRate count - range
-query/cache/delta/averageBytes count -
-query/cache/delta/timeouts count -
-query/cache/delta/errors count -
-query/cache/total/numEntries gauge -
-query/cache/total/sizeBytes gauge -
-query/cache/total/hits gauge -
-query/cache/total/misses gauge -
-query/cache/total/evictions gauge -
-query/cache/total/hitRate gauge - range
-query/cache/total/averageBytes gauge -
-query/cache/total/timeouts gauge -
-query/cache/total/errors gauge -
-ingest/events/thrownAway count dataSource
-ingest/events/unparseable count dataSource
-ingest/events/duplicate count dataSource
-ingest/events/processed count dataSource
-ingest/events/messageGap gauge dataSource
-ingest/rows/output count dataSource
-ingest/persists/count count dataSource
-ingest/persists/time timer dataSource
-ingest/persists/cpu timer dataSource
-ingest/persists/backPressure gauge dataSource
-ingest/persists/failed count dataSource
-ingest/handoff/failed count dataSource
-ingest/merge/time timer dataSource
-ingest/merge/cpu timer dataSource
-ingest/kafka/lag gauge dataSource,stream
-ingest/kafka/maxLag gauge dataSource,stream
-ingest/kafka/avgLag gauge dataSource,stream
-ingest/kafka/partitionLag gauge dataSource,stream,partition
-task/success/count count dataSource
-task/failed/count count dataSource
-task/running/count gauge dataSource
-task/pending/count gauge dataSource
-task/waiting/count gauge dataSource
-worker/task/failed/count count category,workerVersion
-worker/task/success/count count category,workerVersion
-worker/taskSlot/idle/count gauge category,workerVersion
-worker/taskSlot/total/count gauge category,workerVersion
-worker/taskSlot/used/count gauge category,workerVersion
-taskSlot/total/count gauge category
-taskSlot/idle/count gauge category
-taskSlot/used/count gauge category
-taskSlot/lazy/count gauge category
-taskSlot/blacklisted/count gauge category
-task/run/time timer dataSource,taskType
-segment/added/bytes count dataSource,taskType
-segment/moved/bytes count dataSource,taskType
-segment/nuked/bytes count dataSource,taskType
-segment/assigned/count count tier
-segment/moved/count count tier
-segment/dropped/count count tier
-segment/deleted/count count tier
-segment/unneeded/count count tier
-segment/unavailable/count gauge dataSource
-segment/underReplicated/count gauge dataSource,tier
-segment/cost/raw count tier
-segment/cost/normalization count tier
-segment/cost/normalized count tier
-segment/loadQueue/size gauge server
-segment/loadQueue/failed gauge server
-segment/loadQueue/count gauge server
-segment/dropQueue/count gauge server
-segment/size gauge dataSource
-segment/overShadowed/count gauge -
-segment/max gauge -
-segment/used gauge dataSource,tier,priority
-segment/usedPercent gauge dataSource,tier,priority range
-segment/pendingDelete gauge -
-jvm/pool/committed gauge poolKind,poolName
-jvm/pool/init gauge poolKind,poolName
-jvm/pool/max gauge poolKind,poolName
-jvm/pool/used gauge poolKind,poolName
-jvm/bufferpool/count gauge bufferpoolName
-jvm/bufferpool/used gauge bufferpoolName
-jvm/bufferpool/capacity gauge bufferpoolName
-jvm/mem/init gauge memKind
-jvm/mem/max gauge memKind
-jvm/mem/used gauge memKind
-jvm/mem/committed gauge memKind
-jvm/gc/count count gcName,gcGen
-jvm/gc/cpu count gcName,gcGen
-ingest/events/buffered gauge serviceName,bufferCapacity
-sys/swap/free gauge -
-sys/swap/max gauge -
-sys/swap/pageIn gauge -
-sys/swap/pageOut gauge -
-sys/disk/write/count count fsDevName
-sys/disk/read/count count fsDevName
-sys/disk/write/size count fsDevName
-sys/disk/read/size count fsDevName
-sys/net/write/size count -
-sys/net/read/size count -
-sys/fs/used gauge fsDevName,fsDirName,fsTypeName,fsSysTypeName,fsOptions
-sys/fs/max gauge fsDevName,fsDirName,fsTypeName,fsSysTypeName,fsOptions
-sys/mem/used gauge -
-sys/mem/max gauge -
-sys/storage/used gauge fsDirName
-sys/cpu gauge cpuName,cpuTime
-coordinator-segment/count gauge dataSource
-historical-segment/count gauge dataSource,tier,priority
-jetty/numOpenConnections gauge -
-jetty/threadPool/total gauge -
-jetty/threadPool/idle gauge -
-jetty/threadPool/busy gauge -
-jetty/threadPool/isLowOnThreads gauge -
-jetty/threadPool/min gauge -
-jetty/threadPool/max gauge -
-jetty/threadPool/queueSize gauge -
-coordinator/time timer -
-coordinator/global/time timer -
-tier/required/capacity gauge tier
-tier/total/capacity gauge tier
-tier/replication/factor gauge tier
-tier/historical/count count tier
-compact/task/count count -
-compactTask/maxSlot/count count -
-compactTask/availableSlot/count count -
-segment/waitCompact/bytes gauge dataSource
-segment/waitCompact/count count dataSource
-interval/waitCompact/count count dataSource
-segment/skipCompact/bytes gauge dataSource
-segment/skipCompact/count count dataSource
-interval/skipCompact/count count dataSource
-segment/compacted/bytes gauge dataSource
-segment/compacted/count count dataSource
-interval/compacted/count count dataSource
-namespace/cache/numEntries gauge -
-namespace/cache/heapSizeInBytes gauge -
-service/heartbeat count leader
-"""
+ROLLUP_MAP = (
+    ("query/time", "timer", ("dataSource", "type"), False),
+    ("query/bytes", "count", ("dataSource", "type"), False),
+    ("query/node/time", "timer", ("server",), False),
+    ("query/node/ttfb", "timer", ("server",), False),
+    ("query/node/bytes", "count", ("server",), False),
+    ("query/node/backpressure", "timer", ("server",), False),
+    ("query/segment/time", "timer", (), False),
+    ("query/wait/time", "timer", (), False),
+    ("segment/scan/pending", "gauge", (), False),
+    ("query/segmentAndCache/time", "timer", (), False),
+    ("query/cpu/time", "timer", ("dataSource", "type"), False),
+    ("query/count", "count", (), False),
+    ("query/success/count", "count", (), False),
+    ("query/failed/count", "count", (), False),
+    ("query/interrupted/count", "count", (), False),
+    ("query/timeout/count", "count", (), False),
+    ("query/cache/delta/numEntries", "count", (), False),
+    ("query/cache/delta/sizeBytes", "count", (), False),
+    ("query/cache/delta/hits", "count", (), False),
+    ("query/cache/delta/misses", "count", (), False),
+    ("query/cache/delta/evictions", "count", (), False),
+    ("query/cache/delta/hitRate", "count", (), True),
+    ("query/cache/delta/averageBytes", "count", (), False),
+    ("query/cache/delta/timeouts", "count", (), False),
+    ("query/cache/delta/errors", "count", (), False),
+    ("query/cache/total/numEntries", "gauge", (), False),
+    ("query/cache/total/sizeBytes", "gauge", (), False),
+    ("query/cache/total/hits", "gauge", (), False),
+    ("query/cache/total/misses", "gauge", (), False),
+    ("query/cache/total/evictions", "gauge", (), False),
+    ("query/cache/total/hitRate", "gauge", (), True),
+    ("query/cache/total/averageBytes", "gauge", (), False),
+    ("query/cache/total/timeouts", "gauge", (), False),
+    ("query/cache/total/errors", "gauge", (), False),
+    ("ingest/events/thrownAway", "count", ("dataSource",), False),
+    ("ingest/events/unparseable", "count", ("dataSource",), False),
+    ("ingest/events/duplicate", "count", ("dataSource",), False),
+    ("ingest/events/processed", "count", ("dataSource",), False),
+    ("ingest/events/messageGap", "gauge", ("dataSource",), False),
+    ("ingest/rows/output", "count", ("dataSource",), False),
+    ("ingest/persists/count", "count", ("dataSource",), False),
+    ("ingest/persists/time", "timer", ("dataSource",), False),
+    ("ingest/persists/cpu", "timer", ("dataSource",), False),
+    ("ingest/persists/backPressure", "gauge", ("dataSource",), False),
+    ("ingest/persists/failed", "count", ("dataSource",), False),
+    ("ingest/handoff/failed", "count", ("dataSource",), False),
+    ("ingest/merge/time", "timer", ("dataSource",), False),
+    ("ingest/merge/cpu", "timer", ("dataSource",), False),
+    ("ingest/kafka/lag", "gauge", ("dataSource", "stream"), False),
+    ("ingest/kafka/maxLag", "gauge", ("dataSource", "stream"), False),
+    ("ingest/kafka/avgLag", "gauge", ("dataSource", "stream"), False),
+    ("ingest/kafka/partitionLag", "gauge", ("dataSource", "stream", "partition"), False),
+    ("task/success/count", "count", ("dataSource",), False),
+    ("task/failed/count", "count", ("dataSource",), False),
+    ("task/running/count", "gauge", ("dataSource",), False),
+    ("task/pending/count", "gauge", ("dataSource",), False),
+    ("task/waiting/count", "gauge", ("dataSource",), False),
+    ("worker/task/failed/count", "count", ("category", "workerVersion"), False),
+    ("worker/task/success/count", "count", ("category", "workerVersion"), False),
+    ("worker/taskSlot/idle/count", "gauge", ("category", "workerVersion"), False),
+    ("worker/taskSlot/total/count", "gauge", ("category", "workerVersion"), False),
+    ("worker/taskSlot/used/count", "gauge", ("category", "workerVersion"), False),
+    ("taskSlot/total/count", "gauge", ("category",), False),
+    ("taskSlot/idle/count", "gauge", ("category",), False),
+    ("taskSlot/used/count", "gauge", ("category",), False),
+    ("taskSlot/lazy/count", "gauge", ("category",), False),
+    ("taskSlot/blacklisted/count", "gauge", ("category",), False),
+    ("task/run/time", "timer", ("dataSource", "taskType"), False),
+    ("segment/added/bytes", "count", ("dataSource", "taskType"), False),
+    ("segment/moved/bytes", "count", ("dataSource", "taskType"), False),
+    ("segment/nuked/bytes", "count", ("dataSource", "taskType"), False),
+    ("segment/assigned/count", "count", ("tier",), False),
+    ("segment/moved/count", "count", ("tier",), False),
+    ("segment/dropped/count", "count", ("tier",), False),
+    ("segment/deleted/count", "count", ("tier",), False),
+    ("segment/unneeded/count", "count", ("tier",), False),
+    ("segment/unavailable/count", "gauge", ("dataSource",), False),
+    ("segment/underReplicated/count", "gauge", ("dataSource", "tier"), False),
+    ("segment/cost/raw", "count", ("tier",), False),
+    ("segment/cost/normalization", "count", ("tier",), False),
+    ("segment/cost/normalized", "count", ("tier",), False),
+    ("segment/loadQueue/size", "gauge", ("server",), False),
+    ("segment/loadQueue/failed", "gauge", ("server",), False),
+    ("segment/loadQueue/count", "gauge", ("server",), False),
+    ("segment/dropQueue/count", "gauge", ("server",), False),
+    ("segment/size", "gauge", ("dataSource",), False),
+    ("segment/overShadowed/count", "gauge", (), False),
+    ("segment/max", "gauge", (), False),
+    ("segment/used", "gauge", ("dataSource", "tier", "priority"), False),
+    ("segment/usedPercent", "gauge", ("dataSource", "tier", "priority"), True),
+    ("segment/pendingDelete", "gauge", (), False),
+    ("jvm/pool/committed", "gauge", ("poolKind", "poolName"), False),
+    ("jvm/pool/init", "gauge", ("poolKind", "poolName"), False),
+    ("jvm/pool/max", "gauge", ("poolKind", "poolName"), False),
+    ("jvm/pool/used", "gauge", ("poolKind", "poolName"), False),
+    ("jvm/bufferpool/count", "gauge", ("bufferpoolName",), False),
+    ("jvm/bufferpool/used", "gauge", ("bufferpoolName",), False),
+    ("jvm/bufferpool/capacity", "gauge", ("bufferpoolName",), False),
+    ("jvm/mem/init", "gauge", ("memKind",), False),
+    ("jvm/mem/max", "gauge", ("memKind",), False),
+    ("jvm/mem/used", "gauge", ("memKind",), False),
+    ("jvm/mem/committed", "gauge", ("memKind",), False),
+    ("jvm/gc/count", "count", ("gcName", "gcGen"), False),
+    ("jvm/gc/cpu", "count", ("gcName", "gcGen"), False),
+    ("ingest/events/buffered", "gauge", ("serviceName", "bufferCapacity"), False),
+    ("sys/swap/free", "gauge", (), False),
+    ("sys/swap/max", "gauge", (), False),
+    ("sys/swap/pageIn", "gauge", (), False),
+    ("sys/swap/pageOut", "gauge", (), False),
+    ("sys/disk/write/count", "count", ("fsDevName",), False),
+    ("sys/disk/read/count", "count", ("fsDevName",), False),
+    ("sys/disk/write/size", "count", ("fsDevName",), False),
+    ("sys/disk/read/size", "count", ("fsDevName",), False),
+    ("sys/net/write/size", "count", (), False),
+    ("sys/net/read/size", "count", (), False),
+    ("sys/fs/used", "gauge", ("fsDevName", "fsDirName", "fsTypeName", "fsSysTypeName", "fsOptions"), False),
+    ("sys/fs/max", "gauge", ("fsDevName", "fsDirName", "fsTypeName", "fsSysTypeName", "fsOptions"), False),
+    ("sys/mem/used", "gauge", (), False),
+    ("sys/mem/max", "gauge", (), False),
+    ("sys/storage/used", "gauge", ("fsDirName",), False),
+    ("sys/cpu", "gauge", ("cpuName", "cpuTime"), False),
+    ("coordinator-segment/count", "gauge", ("dataSource",), False),
+    ("historical-segment/count", "gauge", ("dataSource", "tier", "priority"), False),
+    ("jetty/numOpenConnections", "gauge", (), False),
+    ("jetty/threadPool/total", "gauge", (), False),
+    ("jetty/threadPool/idle", "gauge", (), False),
+    ("jetty/threadPool/busy", "gauge", (), False),
+    ("jetty/threadPool/isLowOnThreads", "gauge", (), False),
+    ("jetty/threadPool/min", "gauge", (), False),
+    ("jetty/threadPool/max", "gauge", (), False),
+    ("jetty/threadPool/queueSize", "gauge", (), False),
+    ("coordinator/time", "timer", (), False),
+    ("coordinator/global/time", "timer", (), False),
+    ("tier/required/capacity", "gauge", ("tier",), False),
+    ("tier/total/capacity", "gauge", ("tier",), False),
+    ("tier/replication/factor", "gauge", ("tier",), False),
+    ("tier/historical/count", "count", ("tier",), False),
+    ("compact/task/count", "count", (), False),
+    ("compactTask/maxSlot/count", "count", (), False),
+    ("compactTask/availableSlot/count", "count", (), False),
+    ("segment/waitCompact/bytes", "gauge", ("dataSource",), False),
+    ("segment/waitCompact/count", "count", ("dataSource",), False),
+    ("interval/waitCompact/count", "count", ("dataSource",), False),
+    ("segment/skipCompact/bytes", "gauge", ("dataSource",), False),
+    ("segment/skipCompact/count", "count", ("dataSource",), False),
+    ("interval/skipCompact/count", "count", ("dataSource",), False),
+    ("segment/compacted/bytes", "gauge", ("dataSource",), False),
+    ("segment/compacted/count", "count", ("dataSource",), False),
+    ("interval/compacted/count", "count", ("dataSource",), False),
+    ("namespace/cache/numEntries", "gauge", (), False),
+    ("namespace/cache/heapSizeInBytes", "gauge", (), False),
+    ("service/heartbeat", "count", ("leader",), False),
+)
 
 # User dimensions that never reach a datum.
 BLOCKED_DIMS = (
@@ -291,7 +291,6 @@ HOST_MEASURES = {
     "diskio": ("reads", "writes", "read_time", "write_time", "io_time"),
     "mem": ("mem_used", "mem_cached", "mem_total"),
 }
-HOST_INTERVAL = {"cpu": "10 seconds", "disk": "60 seconds", "diskio": "60 seconds", "mem": "60 seconds"}
 IGNORED_FILE_SYSTEMS = ("sysfs", "devtmpfs", "tmpfs")
 
 # Resource types, and the default roles as role -> (types, actions).
@@ -417,20 +416,14 @@ DASHBOARD_PANELS = {
 
 
 def unit_rows() -> list[dict]:
-    return [dict(zip(("metric", "unit"), line.split())) for line in METRIC_UNITS.split("\n") if line]
+    return [{"metric": metric, "unit": unit} for metric, unit in METRIC_UNITS]
 
 
 def rollup_rows() -> list[dict]:
-    rows = []
-    for line in filter(None, ROLLUP_MAP.split("\n")):
-        name, kind, dims, *flags = line.split()
-        rows.append({
-            "metric": name,
-            "rollup_kind": kind,
-            "keep_dims": [] if dims == "-" else dims.split(","),
-            "convert_range": "range" in flags,
-        })
-    return rows
+    return [
+        {"metric": metric, "rollup_kind": kind, "keep_dims": list(dims), "convert_range": convert}
+        for metric, kind, dims, convert in ROLLUP_MAP
+    ]
 
 
 def role_rows(roles=None) -> list[dict]:

@@ -11,7 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The line patterns.
-CRI = r"^([^ ]+) (stdout|stderr) (P|F) (.*)$"
 SYSLOG = (
     r"^([^ ]* {1,2}[^ ]* [^ ]*) ([^ ]*) ([a-zA-Z0-9_\/\.\-]*)(?:\[([0-9]+)\])?(?:[^\:]*\:)? *(.*)$"
 )
@@ -34,7 +33,7 @@ def _parse(line: Column, pattern: str, names: dict[str, int]) -> Column:
 
 
 def parse_cri(line: Column) -> Column:
-    """Time, stream, partial flag and body, the four space-separated parts of ``CRI``.
+    """Time, stream, partial flag and body, the four space-separated parts of a container line.
 
     Split in one pass; the body keeps its own spaces.
     """

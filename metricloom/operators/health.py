@@ -124,17 +124,22 @@ def slot_totals(tasks: DataFrame, category: str) -> DataFrame:
     )
 
 
-def late_rows(rows: DataFrame, ts: str, batch: str, delay_us: int) -> DataFrame:
+def late_rows(rows: DataFrame, ts: str, batch: str, delay_us: int, block: int = 1_000) -> DataFrame:
     """Add ``thrown_away``: older than the watermark its arrival batch started with.
 
-    The watermark of a batch is the newest event time of all earlier batches minus the delay,
-    computed over one row per batch. (A streaming query filters with the watermark one
-    micro-batch older, so it may still let in a few rows this calls late.)
+    The watermark of a batch is the newest event time of all earlier batches minus the delay. It
+    is a running maximum over one row for each batch, taken within blocks of batch numbers and then
+    over the blocks, so that only one row in ``block`` batches meets all others. (A streaming query
+    filters with the watermark one micro-batch older, so it may still let in a few rows this calls late.)
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    newest = rows.groupBy(batch).agg(F.max(micros).alias("__newest"))
-    earlier = W.orderBy(batch).rowsBetween(W.unboundedPreceding, -1)
-    marks = settle(newest.select(batch, (F.max("__newest").over(earlier) - delay_us).alias("__mark")), "watermarks")
+    newest = rows.groupBy(batch).agg(F.max(micros).alias("__newest")).withColumn("__block", F.floor(F.col(batch) / block))
+    earlier = W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = newest.groupBy("__block").agg(F.max("__newest").alias("__top")).select(
+        "__block", F.max("__top").over(earlier).alias("__before"))
+    inside = W.partitionBy("__block").orderBy(batch).rowsBetween(W.unboundedPreceding, -1)
+    so_far = F.greatest(F.max("__newest").over(inside), F.col("__before"))
+    marks = settle(newest.join(blocks, "__block").select(batch, (so_far - delay_us).alias("__mark")), "watermarks")
     late = F.coalesce(micros < F.col("__mark"), F.lit(False))
     return rows.join(marks, batch).withColumn("thrown_away", late).drop("__mark")
 

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from metricloom.operators import retention
 from metricloom.session import stored
 
-BROADCAST_ROWS = 100_000
-
 
 def lookup(rows: DataFrame, key: str, table: DataFrame, value: str, default: str | None = None) -> DataFrame:
     """Add ``value`` found under ``key``; rows without a match get ``default``."""
@@ -25,8 +23,7 @@ def lookup_map(column: Column, pairs: dict[str, str], default: str | None = None
     return F.coalesce(F.try_element_at(entries, column), F.lit(default))
 
 
-def replicated(rows: DataFrame, ts: str, rules, as_of: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows the rules mark for every node: stored, counted, and hinted only if few enough."""
+def replicated(rows: DataFrame, ts: str, rules, as_of: str) -> DataFrame:
+    """Rows the rules mark for every node, stored: the planner broadcasts them if their bytes allow it."""
     marked = retention.apply_retention(rows, ts, rules, as_of).where("action = 'broadcast'")
-    table = stored(marked.select(*rows.columns), "replicated")
-    return F.broadcast(table) if table.count() <= limit else table
+    return stored(marked.select(*rows.columns), "replicated")

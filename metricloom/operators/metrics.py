@@ -24,12 +24,6 @@ def bucket(ts: Column, period: str) -> Column:
     return F.window(ts, period)["start"]
 
 
-def select_series(datums: DataFrame, metric: str, wanted: dict | None = None, match: str = "exact") -> DataFrame:
-    """Rows of one metric whose dimensions are (exact) or include (subset) ``wanted``."""
-    chosen = datums.where(F.col("name") == metric)
-    return chosen if wanted is None else chosen.where(D.matches_dims(F.col("dims"), wanted, match))
-
-
 def search(datums: DataFrame, metric: str, tokens: dict, by: str, namespace: str | None = None) -> DataFrame:
     """Rows holding every token and carrying dimension ``by``, which becomes a column."""
     found = datums.where(F.col("name") == metric)

@@ -10,13 +10,6 @@ def stored_intersection(claimed: DataFrame, stored: DataFrame, key: str) -> Data
     return claimed.join(stored.select(key).distinct(), key, "left_semi")
 
 
-def bag_union(*parts: DataFrame) -> DataFrame:
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
-
-
 def replace_changes(existing: DataFrame, desired: DataFrame) -> DataFrame:
     """The change set of a full replace: every existing row deleted, every desired one created."""
     return existing.withColumn("change", F.lit("delete")).unionByName(

@@ -10,14 +10,19 @@ from metricloom.operators import coordination as C
 from metricloom.operators import logs as L
 from metricloom.operators.logs import LogLayout
 from metricloom.operators.olap import write_segments
-from metricloom.operators.prefix import number_block, time_block
+from metricloom.operators.prefix import number_block
 from metricloom.plans.normalise import dims_text
 from metricloom.plans.registry import query
 from metricloom.plans.views import bucket, sql, values_list
 from metricloom.session import scratch_path
 from metricloom.sources import tables
 
-LAYOUT = LogLayout()
+LAYOUT = LogLayout(
+    cluster="cluster-a", group_root="/metricloom", home="/srv/engine", coordination_home="/srv/coordination",
+    agent_log="/opt/agent/logs/agent.log", containers="/var/log/containers",
+    excluded=("metric-agent", "fluent-bit", "network-node", "kube-proxy"),
+    readmitted=("fluent-bit", "metric-agent"), data_plane=("network-node", "kube-proxy"),
+)
 SETTINGS = EmitterSettings()
 
 
@@ -134,7 +139,7 @@ def long_lines(spark, folder):
 
 def reassembled(source: str, keys: str, order: str) -> str:
     return f"""SELECT {keys}, message_no, min({order}) AS first, string_agg(log, '' ORDER BY {order}) AS message,
-  count(*) AS parts, bool_or(logtag = 'F') AS complete FROM (
+  count(*) AS parts, bool_or(logtag = 'F') AS complete, CAST(0 AS BIGINT) AS piece FROM (
     SELECT *, CAST(count(*) FILTER (logtag = 'F') OVER (PARTITION BY {keys} ORDER BY {order}
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS message_no FROM ({source}) s) m
 GROUP BY {keys}, message_no"""
@@ -157,8 +162,8 @@ def conversation_messages(spark, folder):
 def container_messages(spark, folder):
     lines = L.parsed(tables.log_lines(spark, folder), P.parse_cri)
     return L.join_partial_lines(
-        lines, ["path", "stream"], "event_id", time_block(F.col("ts"), "1 minute"),
-        coarser=lambda minute: time_block(minute, "1 day"))
+        lines, ["path", "stream"], "event_id", number_block(F.col("event_id"), 1_000),
+        coarser=lambda block: number_block(block, 1_000))
 
 
 # events spread over host paths on and off the collect list

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metricloom.catalog import AlarmRule, EmitterSettings
-from metricloom.operators.logs import LogLayout
+from metricloom.plans.logs import LAYOUT
 from metricloom.plans.registry import query
 from metricloom.plans.sinks import UNUSABLE, nameless
 from metricloom.plans.views import bucket, sql
@@ -14,7 +14,6 @@ from metricloom.sources import formats, tables
 from metricloom.streaming import jobs as J
 
 SETTINGS = EmitterSettings()
-LAYOUT = LogLayout()
 DELAY = "1 hour"
 
 

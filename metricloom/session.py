@@ -12,10 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Literal tables ride inside the plan, so they must stay small.
-LITERAL_ROW_LIMIT = 10_000
-# File sizes say little about rows that compress well, so broadcast sides are counted too.
-BROADCAST_ROW_LIMIT = 1_000_000
+# Literal tables up to this size are broadcast whatever the session's threshold.
+LITERAL_BYTES = 1 << 20
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -90,18 +88,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """Store a join side that is meant to be small, and check that it is.
+    """Store a join side that is meant to be small, so that its size in bytes is known.
 
-    Up to ``BROADCAST_ROW_LIMIT`` rows the planner may broadcast it, if its file size is below
-    ``spark.sql.autoBroadcastJoinThreshold`` too. Above, it is sort-merge joined, where AQE
-    splits skewed keys.
+    The planner broadcasts it below ``spark.sql.autoBroadcastJoinThreshold`` and sort-merge joins it
+    above, where AQE splits skewed keys.
     """
-    table = stored(df, label)
-    return table if table.count() <= BROADCAST_ROW_LIMIT else table.hint("merge")
+    return stored(df, label)
 
 
 def literal_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
-    """A small constant table, broadcast because its row count is checked right here."""
-    if len(rows) > LITERAL_ROW_LIMIT:
-        raise ValueError(f"{len(rows)} literal rows; write them to a table instead")
-    return F.broadcast(spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema)))
+    """A table of the driver's own rows; the planner is told to broadcast it if its bytes, known here, are few."""
+    table = pa.Table.from_pylist(rows, schema=schema)
+    frame = spark.createDataFrame(table)
+    return F.broadcast(frame) if table.nbytes <= LITERAL_BYTES else frame

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +24,21 @@ def read_lines(spark: SparkSession, paths, glob: str | None = None) -> DataFrame
 
 
 def stream_lines(spark: SparkSession, path: str, glob: str | None = None, files_per_trigger: int | None = None,
-                 from_head: bool = True) -> DataFrame:
-    """Tail a folder. Positions live in the query's checkpoint, so a restart goes on where it was."""
-    reader = spark.readStream.option("latestFirst", str(not from_head).lower())
+                 since: datetime.datetime | None = None) -> DataFrame:
+    """Tail a folder. Positions live in the query's checkpoint, so a restart goes on where it was.
+
+    Without ``since`` reading begins at the head. With it, files written before that moment are
+    skipped; give the same moment again after a restart.
+    """
+    reader = spark.readStream.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return _with_path(reader.text(path))
+    lines = reader.text(path)
+    if since is not None:
+        lines = lines.where(F.col("_metadata.file_modification_time") >= F.lit(since))
+    return _with_path(lines)
 
 
 def container_logs(spark: SparkSession, layout: LogLayout) -> DataFrame:

@@ -89,37 +89,34 @@ def test_lookup_defaults(spark):
     assert [r[0] for r in rows.select(K.lookup_map(F.col("k"), {"a": "one"}, "?")).collect()] == ["one", "?", "?"]
 
 
-def test_replication_checks_its_size(spark):
+def test_replication_leaves_the_choice_to_the_planner(spark):
     rows = spark.createDataFrame([(i, datetime.datetime(2024, 1, 1)) for i in range(20)], "i int, t timestamp_ntz")
-    rules = [Rule("broadcastForever")]
     other = spark.range(20).select(F.col("id").cast("int").alias("i"))
+    table = K.replicated(rows, "t", [Rule("broadcastForever")], "2024-02-01")
+    for threshold, kind in (("10m", "BroadcastHashJoin"), (-1, "SortMergeJoin")):
+        with O.query_context(spark, spark__sql__autoBroadcastJoinThreshold=threshold):
+            assert kind in other.join(table, "i")._jdf.queryExecution().executedPlan().toString()
 
-    def plan(limit):
-        table = K.replicated(rows, "t", rules, "2024-02-01", limit)
-        with O.query_context(spark, spark__sql__autoBroadcastJoinThreshold=-1):
-            return other.join(table, "i")._jdf.queryExecution().executedPlan().toString()
-
-    assert "BroadcastHashJoin" in plan(20)
-    assert "BroadcastHashJoin" not in plan(19)
-
-
-def test_settled_sides_are_counted(spark, monkeypatch):
-    left = spark.range(1000).withColumnRenamed("id", "k")
 
-    def plan():
-        side = session.settle(spark.range(50).withColumnRenamed("id", "k"), "side")
-        return left.join(side.where("k > 3").select("k"), "k")._jdf.queryExecution().executedPlan().toString()
-
-    assert "BroadcastHashJoin" in plan()
-    monkeypatch.setattr(session, "BROADCAST_ROW_LIMIT", 10)
-    assert "SortMergeJoin" in plan()
+def test_literal_tables_of_any_size(spark):
+    import pyarrow as pa
 
+    left = spark.range(10)
+    for n, kind in ((10, "BroadcastHashJoin"), (300_000, "SortMergeJoin")):
+        table = session.literal_table(spark, [{"id": i} for i in range(n)], pa.schema([("id", pa.int64())]))
+        assert table.count() == n
+        with O.query_context(spark, spark__sql__autoBroadcastJoinThreshold=-1):
+            assert kind in left.join(table, "id")._jdf.queryExecution().executedPlan().toString()
 
-def test_literal_tables_are_bounded(spark):
-    import pyarrow as pa
 
-    with pytest.raises(ValueError, match="write them to a table"):
-        session.literal_table(spark, [{"a": i} for i in range(10_001)], pa.schema([("a", pa.int64())]))
+def test_late_rows_by_blocks(spark):
+    rows = [(i, b, t) for i, (b, t) in enumerate([(0, 50), (1, 100), (2, 20), (2, 95), (5, 90), (7, 300), (9, 250), (12, 299)])]
+    start = datetime.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, b, start + datetime.timedelta(seconds=t)) for i, b, t in rows], "i int, batch bigint, ts timestamp_ntz")
+    want = {i: t < max((u for _, c, u in rows if c < b), default=-10**9) - 10 for i, b, t in rows}
+    for block in (1, 2, 3, 1000):
+        got = H.late_rows(df, "ts", "batch", 10_000_000, block).collect()
+        assert {r["i"]: r["thrown_away"] for r in got} == want
 
 
 def test_priorities(spark):

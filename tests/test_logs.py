@@ -1,3 +1,4 @@
+import dataclasses
 import datetime
 import json
 
@@ -7,11 +8,9 @@ from pyspark.sql import functions as F
 from metricloom.functions import parsers as P
 from metricloom.operators import coordination as C
 from metricloom.operators import logs as L
-from metricloom.operators.logs import LogLayout
+from metricloom.plans.logs import LAYOUT
 from metricloom.sources import text
 
-LAYOUT = LogLayout()
-
 
 def lines(spark, values, column="value"):
     return spark.createDataFrame([(v,) for v in values], f"{column} string")
@@ -84,7 +83,7 @@ def iter_nodes(plan, name):
 
 
 def test_file_sources(spark, tmp_path):
-    layout = LogLayout(containers=f"{tmp_path}/containers")
+    layout = dataclasses.replace(LAYOUT, containers=f"{tmp_path}/containers")
     folder = tmp_path / "containers"
     folder.mkdir()
     for name in ("web-1", "metric-agent-1", "fluent-bit-2", "network-node-3", "kube-proxy-4"):

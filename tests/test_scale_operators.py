@@ -158,3 +158,25 @@ def test_partial_lines(spark, block):
     df = spark.createDataFrame(rows, "stream string, at bigint, logtag string, log string").repartition(4)
     got = L.join_partial_lines(df, ["stream"], "at", prefix.number_block(F.col("at"), block)).collect()
     assert {(r["stream"], r["message_no"]): (r["message"], r["complete"]) for r in got} == want
+
+
+def test_a_message_without_end_comes_in_pieces(spark):
+    rows = [("s", i, "P", f"{i} ") for i in range(95)] + [("t", 0, "P", "a"), ("t", 1, "F", "b")]
+    df = spark.createDataFrame(rows, "stream string, at bigint, logtag string, log string").repartition(4)
+    got = L.join_partial_lines(df, ["stream"], "at", prefix.number_block(F.col("at"), 8), most_parts=30).orderBy("stream", "first").collect()
+    assert "".join(r["message"] for r in got if r["stream"] == "s") == "".join(f"{i} " for i in range(95))
+    assert [(r["piece"], r["parts"]) for r in got if r["stream"] == "s"] == [(1, 30), (2, 30), (3, 30), (4, 5)]
+    assert [(r["message"], r["piece"], r["complete"]) for r in got if r["stream"] == "t"] == [("ab", 0, True)]
+
+
+def test_reassembly_follows_the_order_column_alone(spark):
+    # times that disagree with the order
+    rows = [("s", i, 1000 - i, "F" if i % 4 == 3 else "P", str(i % 10)) for i in range(40)]
+    df = spark.createDataFrame(rows, "stream string, at bigint, ts bigint, logtag string, log string").repartition(3)
+    got = L.join_partial_lines(df, ["stream"], "at", prefix.number_block(F.col("at"), 5)).orderBy("first").collect()
+    assert [r["message"] for r in got] == ["".join(str(j % 10) for j in range(i, i + 4)) for i in range(0, 40, 4)]
+
+
+def test_an_oversized_item_costs_no_long_fold(spark):
+    sizes = [10**9] + [200] * 5000
+    assert admitted(spark, {"q": sizes}, 100_000_000, 500, fold_rows=100) == {"q": [False] + [True] * 5000}

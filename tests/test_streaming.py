@@ -1,12 +1,16 @@
+import dataclasses
 import datetime
+import os
+import pathlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from metricloom import session
 from metricloom.catalog import AlarmRule, EmitterSettings
 from metricloom.operators import alarms as A
-from metricloom.operators.logs import LogLayout
+from metricloom.plans.logs import LAYOUT
 from metricloom.sources import formats, text
 from metricloom.sources.formats import EVENT_SCHEMA
 from metricloom.streaming import jobs as J
@@ -134,9 +138,32 @@ def test_tail_routes_lines(spark, tmp_path):
     folder.mkdir()
     (folder / "web-1.log").write_text('2024-01-01T00:00:00Z stdout F {"a":1}\nbroken\n')
     (folder / "kube-proxy-1.log").write_text("2024-01-01T00:00:00Z stdout F x\n")
-    layout = LogLayout(containers=str(folder))
+    layout = dataclasses.replace(LAYOUT, containers=str(folder))
     lines = text.stream_lines(spark, str(folder), "*.log", files_per_trigger=1)
     J.route_logs(lines, f"{tmp_path}/out", f"{tmp_path}/ck", layout, F.lit("n1"), {"availableNow": True}).awaitTermination()
     got = J.read_epochs(spark, f"{tmp_path}/out").collect()
     assert [(r["log_processed"], r["stream_prefix"], r["family"]) for r in got] == [({"a": "1"}, "application-n1-", "application")]
     assert formats.BUILT_IN[0] == "parquet"
+
+
+def test_tail_may_skip_what_is_there(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "old.log").write_text("before\n")
+    os.utime(folder / "old.log", (1_700_000_000, 1_700_000_000))
+    (folder / "new.log").write_text("after\n")
+    since = datetime.datetime(2023, 12, 1, tzinfo=datetime.UTC)
+    for moment, want in ((None, ["after", "before"]), (since, ["after"])):
+        lines = text.stream_lines(spark, str(folder), "*.log", since=moment).select("value")
+        assert sorted(r["value"] for r in J.drain(lines, "tail").collect()) == want
+
+
+def test_an_epoch_leaves_no_tables_behind(spark, tmp_path):
+    rows = [(i, "metric", T0 + datetime.timedelta(seconds=i), "svc", "h", "query/time", 1.0, None, None, []) for i in range(5)]
+    put(spark, tmp_path / "in", "a", rows, EVENT_SCHEMA)
+    scratch = pathlib.Path(session.scratch_root(spark)) / "metricloom"
+    before = {p.name for p in scratch.iterdir()} if scratch.exists() else set()
+    J.flush_datums(
+        stream(spark, tmp_path / "in", EVENT_SCHEMA), f"{tmp_path}/out", f"{tmp_path}/ck", EmitterSettings(),
+        F.lit(10).cast("bigint"), trigger={"availableNow": True}).awaitTermination()
+    assert {p.name for p in scratch.iterdir()} == before
