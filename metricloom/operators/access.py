@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from metricloom.session import settle, stored
 
 RESOURCE = ["resource_type", "resource_name", "action"]
 PATTERN_SIGNS = r"[\\.\[\](){}*+?^$|]"
-LISTED_PERMISSIONS = 1_000
+EVERY = ".*"
 
 
 def claim_groups(claim: Column) -> Column:
@@ -46,45 +48,50 @@ def permissions(principals: DataFrame, group_roles: DataFrame, role_permissions:
 
 
 def allowed_resources(resources: DataFrame, role_permissions: DataFrame) -> DataFrame:
-    """Distinct (role, resource) some permission of the role matches.
+    """Distinct (role, resource) some permission of the role matches; the result itself is roles x resources.
 
-    Permissions whose pattern is a plain name join on the name itself. For the others (type,
-    action) is the equi key and the pattern a residual, tried once per distinct resource
-    however many requests name it.
+    A permission for every name joins on type and action alone, a plain name on the name too. Only
+    real patterns are tried, once per distinct resource however many requests name it.
     """
     asked = resources.select(*RESOURCE).distinct()
-    plain = ~F.col("name_pattern").rlike(PATTERN_SIGNS)
-    named = asked.join(
-        role_permissions.where(plain).withColumnRenamed("name_pattern", "resource_name"), RESOURCE
-    ).select("role", *RESOURCE)
-    matched = asked.join(role_permissions.where(~plain), ["resource_type", "action"]).where(
-        full_match(F.col("resource_name"), F.col("name_pattern"))).select("role", *RESOURCE)
-    return named.unionByName(matched).distinct()
-
-
-def matching_roles(name: Column, permissions: list[dict], resource_type: str, action: str) -> Column:
-    """Roles of a short permission list that match ``name``: constant patterns, no join."""
-    if len(permissions) > LISTED_PERMISSIONS:
-        raise ValueError(f"{len(permissions)} permissions; join them as a table instead")
-    hits = [
-        F.when(full_match(name, F.lit(p["name_pattern"])), F.lit(p["role"])) for p in permissions
-        if p["resource_type"] == resource_type and p["action"] == action
-    ]
-    return F.array_distinct(F.array_compact(F.array(*hits).cast("array<string>")))
+    kinds = [asked.join(part, keys) for part, keys in (
+        (every_name(role_permissions), ["resource_type", "action"]), (plain_names(role_permissions), RESOURCE))]
+    matched = asked.join(patterns(role_permissions), ["resource_type", "action"]).where(
+        full_match(F.col("resource_name"), F.col("name_pattern")))
+    return reduce(DataFrame.union, [part.select("role", *RESOURCE) for part in (*kinds, matched)]).distinct()
+
+
+def every_name(role_permissions: DataFrame) -> DataFrame:
+    return role_permissions.where(F.col("name_pattern") == EVERY).select("role", "resource_type", "action").distinct()
+
+
+def plain_names(role_permissions: DataFrame) -> DataFrame:
+    plain = role_permissions.where(~F.col("name_pattern").rlike(PATTERN_SIGNS))
+    return plain.withColumnRenamed("name_pattern", "resource_name").select("role", *RESOURCE).distinct()
+
+
+def patterns(role_permissions: DataFrame) -> DataFrame:
+    real = F.col("name_pattern").rlike(PATTERN_SIGNS) & (F.col("name_pattern") != EVERY)
+    return role_permissions.where(real).select("role", "resource_type", "action", "name_pattern").distinct()
 
 
 def granted(requests: DataFrame, group_roles: DataFrame, role_permissions: DataFrame) -> DataFrame:
     """Distinct (claim, resource, action) some permission allows.
 
-    Requests are reduced to their distinct combinations before any join, so a claim or a
-    resource holding a third of the requests costs one row.
+    Requests are reduced to their distinct combinations before any join, so a claim or a resource
+    holding a third of the requests costs one row. A claim that may use every name of a type needs no
+    names at all; plain names meet by equality, and what is left is tried against the claim's own
+    patterns: nothing is kept for a role and a resource.
     """
     asked = stored(requests.where("claim IS NOT NULL").select("claim", *RESOURCE).distinct(), "asked")
-    return (
-        asked.join(claim_roles(asked, group_roles), "claim")
-        .join(allowed_resources(asked, role_permissions), ["role", *RESOURCE])
-        .select("claim", *RESOURCE).distinct()
-    )
+    roles = stored(claim_roles(asked, group_roles), "claim-roles")
+    held = lambda part: roles.join(part, "role").drop("role").distinct()
+    every = asked.join(held(every_name(role_permissions)), ["claim", "resource_type", "action"], "left_semi")
+    named = asked.join(held(plain_names(role_permissions)), ["claim", *RESOURCE], "left_semi")
+    own = held(patterns(role_permissions)).withColumnsRenamed({"claim": "c", "resource_type": "t", "action": "a"})
+    same = (F.col("claim") == F.col("c")) & (F.col("resource_type") == F.col("t")) & (F.col("action") == F.col("a"))
+    matched = asked.join(own, same & full_match(F.col("resource_name"), F.col("name_pattern")), "left_semi")
+    return every.unionByName(named).unionByName(matched).distinct()
 
 
 def authorise(requests: DataFrame, group_roles: DataFrame, role_permissions: DataFrame,
@@ -117,15 +124,17 @@ def authorise(requests: DataFrame, group_roles: DataFrame, role_permissions: Dat
 
 
 def visible_datasets(rows: DataFrame, dataset: str, claims: DataFrame, group_roles: DataFrame,
-                     permissions: list[dict], action: str = "READ") -> DataFrame:
+                     role_permissions: DataFrame, action: str = "READ") -> DataFrame:
     """Distinct (claim, data set) of the data sets in ``rows`` each claim may use."""
-    roles = matching_roles(F.col(dataset), permissions, "DATASOURCE", action)
-    names = rows.select(dataset).distinct().select(dataset, F.explode(roles).alias("role"))
-    return claim_roles(claims, group_roles).join(names, "role").select("claim", dataset).distinct()
+    names = rows.select(F.lit("DATASOURCE").alias("resource_type"), F.col(dataset).alias("resource_name"),
+                        F.lit(action).alias("action")).distinct()
+    usable = allowed_resources(stored(names, "datasets"), role_permissions)
+    return claim_roles(claims, group_roles).join(usable, "role").select(
+        "claim", F.col("resource_name").alias(dataset)).distinct()
 
 
 def secured(rows: DataFrame, dataset: str, claim: str, group_roles: DataFrame,
-            permissions: list[dict]) -> DataFrame:
-    """The rows one claim may read: a semi join on its data sets."""
+            role_permissions: DataFrame) -> DataFrame:
+    """The rows one claim may read: a semi join on its data sets. Permissions are a table of any size."""
     claims = rows.sparkSession.range(1).select(F.lit(claim).alias("claim"))
-    return rows.join(visible_datasets(rows, dataset, claims, group_roles, permissions), dataset, "left_semi")
+    return rows.join(visible_datasets(rows, dataset, claims, group_roles, role_permissions), dataset, "left_semi")

@@ -100,7 +100,7 @@ def visible_rows(spark, folder):
     """Data sets and rows every claim may read; rows are counted before claims fan out."""
     rows = _datasets(spark, folder)
     visible = A.visible_datasets(
-        rows, "dataset", tables.principals(spark, folder), tables.group_roles(spark, folder), PERMISSIONS
+        rows, "dataset", tables.principals(spark, folder), tables.group_roles(spark, folder), role_permissions(spark)
     )
     counts = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"))
     return visible.join(counts, "dataset").groupBy("claim").agg(
@@ -114,7 +114,8 @@ WHERE regexp_full_match(lower(replace(o_orderpriority, ' ', '_')), '[12]-.*')"""
 def secured_scan(spark, folder):
     """The order rows a claim of one nation may read."""
     return A.secured(
-        _datasets(spark, folder), "dataset", "someone , nation-0", tables.group_roles(spark, folder), PERMISSIONS
+        _datasets(spark, folder), "dataset", "someone , nation-0", tables.group_roles(spark, folder),
+        role_permissions(spark)
     )
 
 

@@ -70,12 +70,35 @@ def test_bag_of_permissions_keeps_duplicates(spark):
 def test_secured_rows(spark):
     rows = spark.createDataFrame([("sales", 1), ("sales_eu", 2), ("hr", 3)], "ds string, n int")
     groups = spark.createDataFrame(GROUPS, "group string, role string")
-    perms = [dict(zip(("role", "resource_type", "name_pattern", "action"), p)) for p in PERMISSIONS]
+    perms = spark.createDataFrame(PERMISSIONS, "role string, resource_type string, name_pattern string, action string")
     assert {r["n"] for r in A.secured(rows, "ds", "team-a", groups, perms).collect()} == {1, 2}
     assert {r["n"] for r in A.secured(rows, "ds", '["admins"]', groups, perms).collect()} == {1, 2, 3}
     assert A.secured(rows, "ds", "nobody", groups, perms).count() == 0
 
 
+def test_thousands_of_permissions(spark):
+    rows = spark.createDataFrame([(f"set{i}", i) for i in range(50)], "ds string, n int")
+    groups = spark.createDataFrame([("team", "r"), ("other", "s")], "group string, role string")
+    perms = [("r", "DATASOURCE", f"set{i * 7}", "READ") for i in range(5_000)] + [("r", "DATASOURCE", "set4[89]", "READ")]
+    perms += [("s", "DATASOURCE", ".*", "READ"), ("r", "DATASOURCE", "set1", "WRITE")]
+    table = spark.createDataFrame(perms, "role string, resource_type string, name_pattern string, action string")
+    assert {r["n"] for r in A.secured(rows, "ds", "team", groups, table).collect()} == {0, 7, 14, 21, 28, 35, 42, 48, 49}
+    assert A.secured(rows, "ds", "other", groups, table).count() == 50
+
+
+def test_decisions_keep_no_rows_for_a_role_and_a_resource(spark):
+    requests = spark.createDataFrame(
+        [("p", True, "team", "STATE", f"n{i}", "READ") for i in range(40)],
+        "principal string, has_context boolean, claim string, resource_type string, resource_name string, action string")
+    groups = spark.createDataFrame([("team", f"r{i}") for i in range(30)], "group string, role string")
+    perms = spark.createDataFrame(
+        [(f"r{i}", "STATE", ".*", "READ") for i in range(30)], "role string, resource_type string, name_pattern string, action string")
+    done = A.granted(requests, groups, perms)
+    assert done.count() == 40
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "role" not in plan.split("Relation")[0].split("Aggregate")[1]
+
+
 def test_mapping_changes(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "k string, v string")
     new = spark.createDataFrame([("b", "2"), ("c", "4"), ("d", "5")], "k string, v string")

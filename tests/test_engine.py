@@ -138,3 +138,10 @@ def test_interval_prunes_partitions(spark, tmp_path):
     kept = O.in_interval(spark.read.parquet(f"{tmp_path}/t"), "day", "2024-01-02", "2024-01-04")
     assert sorted(r["v"] for r in kept.collect()) == [2, 3]
     assert "PartitionFilters: [isnotnull(day" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_estimates_of_many_values_are_close(spark):
+    rows = spark.range(200_000).select((F.col("id") % 5).alias("part"), (F.col("id") // 2).alias("user"), F.col("id").cast("double").alias("value"))
+    merged = O.merge_sketches(O.sketches(rows.withColumn("kind", F.lit("x")), ["kind", "part"], "user", "value"), ["kind"])
+    got = merged.select(F.hll_sketch_estimate("hll"), F.theta_sketch_estimate("theta")).first()
+    assert all(abs(x - 100_000) < 5_000 for x in got)
