@@ -359,7 +359,7 @@ ALARM_RULES = (
     AlarmRule("pod memory", "pod_memory_utilization", "avg", "5 minutes", ">", 85, 3, 5, "not_breaching"),
 )
 
-# Dashboard panels as (metric, statistic, period).
+# Dashboard panels as (metric, statistic, period); "a/b" is a share in percent.
 DASHBOARD_PANELS = {
     "canary status": (("SuccessPercent", "avg", "5 minutes"),),
     "lb requests": (("RequestCount", "sum", "1 minute"),),
@@ -401,8 +401,18 @@ DASHBOARD_PANELS = {
         ("FreeableMemory", "avg", "1 minute"),
         ("ReadLatency", "avg", "1 minute"),
         ("WriteLatency", "avg", "1 minute"),
+    ),
+    "serverless database": (
+        ("CPUUtilization", "avg", "1 minute"),
+        ("DatabaseConnections", "avg", "1 minute"),
+        ("ReadThroughput", "avg", "1 minute"),
+        ("WriteThroughput", "avg", "1 minute"),
+        ("ReadLatency", "avg", "1 minute"),
+        ("WriteLatency", "avg", "1 minute"),
         ("ServerlessDatabaseCapacity", "avg", "1 minute"),
     ),
+    "group memory": (("mem_used/mem_total", "avg", "1 minute"),),
+    "group disk": (("disk_used/disk_total", "sum", "1 minute"),),
     "nodes": (
         ("cluster_failed_node_count", "avg", "5 minutes"),
         ("cluster_node_count", "avg", "5 minutes"),
@@ -414,6 +424,38 @@ DASHBOARD_PANELS = {
     ),
 }
 
+# What a panel's series must hold, and the dimension that makes a series of each of its values.
+PANEL_TOKENS = {
+    "ingestion count": {"service": "middleManager"},
+    "query count": {"service": "historical"},
+    "query time": {"service": "broker", "success": "true"},
+    "database": {"namespace": "database"},
+    "serverless database": {"namespace": "database"},
+    "group load": {"namespace": "group"},
+}
+PANEL_FAN_OUT = {"ingestion count": "data_source", "query time": "data_source", "pods": "service"}
+
+
+@dataclass(frozen=True)
+class PanelLine:
+    panel: str
+    metric: str
+    statistic: str
+    period: str
+    tokens: tuple[tuple[str, str], ...] = ()
+    by: str | None = None
+
+    @property
+    def ratio(self) -> bool:
+        return "/" in self.metric and self.panel.startswith("group ")
+
+
+def panel_lines() -> list[PanelLine]:
+    return [
+        PanelLine(panel, *line, tuple(PANEL_TOKENS.get(panel, {}).items()), PANEL_FAN_OUT.get(panel))
+        for panel, lines in DASHBOARD_PANELS.items() for line in lines
+    ]
+
 
 def unit_rows() -> list[dict]:
     return [{"metric": metric, "unit": unit} for metric, unit in METRIC_UNITS]

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom import session
+from metricloom.catalog import PanelLine
 from metricloom.functions import dims as D
 from metricloom.functions import values as V
 from metricloom.operators.normalize import pin
 from metricloom.operators.orderstats import Percentile, TrimmedMean, order_stats
-from metricloom.session import literal_table
 
 RANK_STATISTICS = {"p99": Percentile("p99", 0.99), "tm99": TrimmedMean("tm99", 99)}
 PLAIN_STATISTICS = {
@@ -90,29 +91,45 @@ def rollup_by_kind(events: DataFrame, keys: list[str], period: str, order: list[
     return base.join(timers.drop("n"), group, "left")
 
 
-def panel_series(rows: DataFrame, panels: list[tuple[str, str, str, str]], metric: str = "metric") -> DataFrame:
-    """Series of all dashboard panels given as (panel, metric, statistic, period).
+def panel_series(rows: DataFrame, panels: list[PanelLine], metric: str = "metric") -> DataFrame:
+    """(panel, metric, statistic, period, series, bucket, value) of all dashboard panels.
 
-    One aggregation per distinct period and kind of statistic, however many panels share it.
+    ``rows`` have the metric, value, ts and a column for every dimension a panel names. A panel's rows
+    hold all its tokens and, if it fans out, carry that dimension, whose value is the series. A row may
+    serve several panels; there is one aggregation for each period and kind of statistic.
     """
-    names = ("panel", metric, "statistic")
+
+    def serves(line: PanelLine) -> Column:
+        hit = F.col(metric).isin(*line.metric.split("/")) if line.ratio else F.col(metric) == line.metric
+        for name, value in line.tokens:
+            hit &= F.col(name) == value
+        return hit if line.by is None else hit & F.col(line.by).isNotNull()
+
+    lines = list(enumerate(panels))
+    shown = F.explode(F.array_compact(F.array(*[
+        F.when(serves(line), F.struct(
+            F.lit(i).alias("line"), (F.lit(None) if line.by is None else F.col(line.by)).cast("string").alias("series")))
+        for i, line in lines])))
+    served = rows.select(F.col(metric).alias("__metric"), "value", "ts", shown.alias("__s")).select(
+        "__metric", "value", "ts", "__s.line", "__s.series")
     parts = []
-    for period, ranked in sorted({(p, s in RANK_STATISTICS) for _, _, s, p in panels}):
-        chosen = [p for p in panels if p[3] == period and (p[2] in RANK_STATISTICS) == ranked]
-        statistics = sorted({p[2] for p in chosen})
-        table = literal_table(
-            rows.sparkSession, [dict(zip(names, p)) for p in chosen], pa.schema([(n, pa.string()) for n in names])
-        )
-        wanted = rows.where(F.col(metric).isin(*{p[1] for p in chosen}))
-        value = F
-        for statistic in statistics:
-            value = value.when(F.col("statistic") == statistic, F.col(statistic))
-        parts.append(windowed(wanted, [metric], period, statistics).join(table, metric).select(
-            "panel", metric, "statistic", F.lit(period).alias("period"), "bucket", value.alias("value")))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    for kind in sorted({(p.period, p.statistic, p.ratio) for p in panels}):
+        period, statistic, is_ratio = kind
+        mine = [(i, p) for i, p in lines if (p.period, p.statistic, p.ratio) == kind]
+        wanted = served.where(F.col("line").isin(*[i for i, _ in mine]))
+        if is_ratio:
+            used, total = ({i: p.metric.split("/")[side] for i, p in mine} for side in (0, 1))
+            pick = lambda names: F.when(reduce(
+                lambda x, y: x | y, [(F.col("line") == i) & (F.col("__metric") == m) for i, m in names.items()]), F.col("value"))
+            made = ratio(wanted, ["line", "series"], period, pick(used), pick(total), statistic)
+            parts.append(made.select("line", "series", "bucket", F.col("percent").alias("value")))
+        else:
+            made = windowed(wanted, ["line", "series"], period, [statistic])
+            parts.append(made.select("line", "series", "bucket", F.col(statistic).alias("value")))
+    names = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in (
+        ("panel", p.panel), ("metric", p.metric), ("statistic", p.statistic), ("period", p.period))]) for p in panels])
+    whole = reduce(DataFrame.unionByName, parts).withColumn("__p", F.element_at(names, F.col("line") + 1))
+    return whole.select("__p.*", "series", "bucket", "value")
 
 
 def long_measures(df: DataFrame, ids: list[str], families: dict[str, tuple[str, ...]]) -> DataFrame:

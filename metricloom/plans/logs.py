@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from metricloom.catalog import EmitterSettings
@@ -15,7 +17,7 @@ from metricloom.plans.normalise import dims_text
 from metricloom.plans.registry import query
 from metricloom.plans.views import bucket, sql, values_list
 from metricloom.session import scratch_path
-from metricloom.sources import tables
+from metricloom.sources import tables, text
 
 LAYOUT = LogLayout(
     cluster="cluster-a", group_root="/metricloom", home="/srv/engine", coordination_home="/srv/coordination",
@@ -64,19 +66,22 @@ def journal_records(spark, folder):
     return L.journal(records)
 
 
-@query("P15 S6", sql("ev", """
-SELECT event_id, 'host-' || user_id AS host, event_type AS ident,
-  CASE WHEN k % 2 = 0 THEN CAST(k AS VARCHAR) ELSE '' END AS pid, 'value is ' || k AS message,
-  epoch(date_trunc('second', ts))::BIGINT AS time_s FROM ev"""))
-def syslog_lines(spark, folder):
-    """Events rendered as syslog lines, with and without a process number, and parsed again."""
+def _syslog_line():
     day = F.lpad(F.date_format("ts", "d"), 2, " ")
     pid = F.when(F.col("k") % 2 == 0, F.concat(F.lit("["), tables.text("k"), F.lit("]"))).otherwise("")
-    line = F.concat(
+    return F.concat(
         F.date_format("ts", "MMM"), F.lit(" "), day, F.lit(" "), F.date_format("ts", "HH:mm:ss"), F.lit(" host-"),
         tables.text("user_id"), F.lit(" "), F.col("event_type"), pid, F.lit(": value is "), tables.text("k"),
     )
-    lines = L.parsed(tables.events(spark, folder).select("event_id", line.alias("value")), P.parse_syslog)
+
+
+@query("P15", sql("ev", """
+SELECT event_id, 'host-' || user_id AS host, event_type AS ident,
+  CASE WHEN k % 2 = 0 THEN CAST(k AS VARCHAR) ELSE '' END AS pid, 'value is ' || k AS message,
+  epoch(date_trunc('second', ts))::BIGINT AS time_s FROM ev"""))
+def syslog_lines(spark, folder):
+    """Events rendered as syslog lines, with and without a process number, and parsed again."""
+    lines = L.parsed(tables.events(spark, folder).select("event_id", _syslog_line().alias("value")), P.parse_syslog)
     seconds = F.unix_seconds(P.syslog_time(F.col("time"), 2024)).alias("time_s")
     return lines.select("event_id", "host", "ident", "pid", "message", seconds)
 
@@ -137,6 +142,44 @@ def long_lines(spark, folder):
     )
 
 
+@query("S6 P15", sql("ev", """
+SELECT tag, host, ident, count(*) AS lines, count(*) FILTER (pid <> '') AS with_pid FROM (
+  SELECT 'host.dmesg' AS tag, NULL AS host, NULL AS ident, NULL AS pid FROM ev WHERE user_id % 3 = 0
+  UNION ALL SELECT CASE user_id % 3 WHEN 1 THEN 'host.messages' ELSE 'host.secure' END, 'host-' || user_id, event_type,
+    CASE WHEN k % 2 = 0 THEN CAST(k AS VARCHAR) ELSE '' END FROM ev WHERE user_id % 3 > 0) l GROUP BY 1, 2, 3"""))
+def host_logs(spark, folder):
+    """Three host logs written as files, and their union read back: one raw, two through the syslog parser."""
+    path = scratch_path(spark, "host-logs")
+    events = tables.events(spark, folder)
+    lines = {"dmesg": F.concat(F.lit("[0.0] "), F.col("event_type")), "messages": _syslog_line(), "secure": _syslog_line()}
+    for i, (name, line) in enumerate(lines.items()):
+        events.where(F.col("user_id") % 3 == i).select(line.alias("value")).write.text(f"{path}/{name}")
+    read = text.host_logs(spark, *[f"{path}/{name}" for name in lines], P.parse_syslog)
+    return read.groupBy("tag", "host", "ident").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("pid") != "").alias("with_pid"))
+
+
+@query("S3 S4", sql("ev", """
+SELECT kind, path, count(*) AS lines FROM (
+  SELECT CASE user_id % 4 WHEN 1 THEN 'data plane' ELSE 'application' END AS kind,
+    CASE user_id % 4 WHEN 0 THEN 'web-1.log' WHEN 1 THEN 'network-node-2.log' WHEN 2 THEN 'fluent-bit-3.log' END AS path
+  FROM ev WHERE user_id % 4 < 3) f GROUP BY 1, 2"""))
+def container_files(spark, folder):
+    """Container logs written as files; each reader opens its own choice of them."""
+    path = scratch_path(spark, "containers")
+    layout = dataclasses.replace(LAYOUT, containers=path)
+    names = ("web-1.log", "network-node-2.log", "fluent-bit-3.log", "web-4.txt")
+    for i, name in enumerate(names):
+        tables.events(spark, folder).where(F.col("user_id") % 4 == i).select("props").write.text(f"{path}/{name}")
+    kinds = {"application": L.application_files, "data plane": L.data_plane_files}
+    # a written file is a folder of parts here: the folder's name is the log's
+    lines = text.read_lines(spark, path).withColumn("path", F.regexp_replace("path", "/[^/]*$", "")).withColumn(
+        "path", F.concat(F.lit(f"{path}/"), F.element_at(F.split("path", "/"), -1)))
+    parts = [choose(lines, layout).withColumn("kind", F.lit(kind)) for kind, choose in kinds.items()]
+    return parts[0].unionByName(parts[1]).groupBy("kind", F.element_at(F.split("path", "/"), -1).alias("path")).agg(
+        F.count(F.lit(1)).alias("lines"))
+
+
 def reassembled(source: str, keys: str, order: str) -> str:
     return f"""SELECT {keys}, message_no, min({order}) AS first, string_agg(log, '' ORDER BY {order}) AS message,
   count(*) AS parts, bool_or(logtag = 'F') AS complete, CAST(0 AS BIGINT) AS piece FROM (

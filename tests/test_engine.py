@@ -141,7 +141,7 @@ def test_interval_prunes_partitions(spark, tmp_path):
 
 
 def test_estimates_of_many_values_are_close(spark):
-    rows = spark.range(200_000).select((F.col("id") % 5).alias("part"), (F.col("id") // 2).alias("user"), F.col("id").cast("double").alias("value"))
+    rows = spark.range(200_000).select((F.col("id") % 5).alias("part"), F.floor(F.col("id") / 2).alias("user"), F.col("id").cast("double").alias("value"))
     merged = O.merge_sketches(O.sketches(rows.withColumn("kind", F.lit("x")), ["kind", "part"], "user", "value"), ["kind"])
     got = merged.select(F.hll_sketch_estimate("hll"), F.theta_sketch_estimate("theta")).first()
     assert all(abs(x - 100_000) < 5_000 for x in got)
