@@ -292,6 +292,7 @@ HOST_MEASURES = {
     "mem": ("mem_used", "mem_cached", "mem_total"),
 }
 IGNORED_FILE_SYSTEMS = ("sysfs", "devtmpfs", "tmpfs")
+CPU_TOTAL = "cpu-total"
 
 # Resource types, and the default roles as role -> (types, actions).
 RESOURCE_TYPES = ("CONFIG", "QUERY_CONTEXT", "SYSTEM_TABLE", "EXTERNAL", "DATASOURCE", "STATE", "VIEW")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom import session
-from metricloom.catalog import PanelLine
+from metricloom.catalog import CPU_TOTAL, HOST_MEASURES, IGNORED_FILE_SYSTEMS, PanelLine
 from metricloom.functions import dims as D
 from metricloom.functions import values as V
 from metricloom.operators.normalize import pin
@@ -138,6 +138,18 @@ def long_measures(df: DataFrame, ids: list[str], families: dict[str, tuple[str,
     return df.unpivot(ids, listed, "measure", "value").where("value IS NOT NULL")
 
 
+def host_samples(df: DataFrame, ids: list[str], cluster: str, core: str = "core", fstype: str = "fstype") -> DataFrame:
+    """The host agent's measurements, one row each, tagged with the cluster.
+
+    Processor measures are taken of single cores and not of their total, disk measures not of the
+    ignored file systems.
+    """
+    long = long_measures(df, [*ids, core, fstype], HOST_MEASURES)
+    of = {name: F.col("measure").isin(*measures) for name, measures in HOST_MEASURES.items()}
+    left_out = (of["cpu"] & (F.col(core) == CPU_TOTAL)) | (of["disk"] & F.col(fstype).isin(*IGNORED_FILE_SYSTEMS))
+    return long.where(~left_out).withColumn("cluster", F.lit(cluster))
+
+
 def host_grouping_sets(df: DataFrame, sets: list[list[str]], measures: list[Column]) -> DataFrame:
     """One aggregation over several dimension subsets; ``set_id`` tells them apart."""
     names = list(dict.fromkeys(name for one in sets for name in one))

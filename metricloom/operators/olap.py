@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from metricloom.session import settle
+from metricloom.session import literal_table, settle
 
 TARGET_ROWS_PER_FILE = 5_000_000
 
@@ -106,16 +107,20 @@ def compact(spark: SparkSession, source: str, target: str, partition: str, sort:
     write_segments(spark.read.parquet(source), target, partition, sort, rows_per_file)
 
 
-def system_columns(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per column of the named tables: its name, type, and the table's row count."""
-    whole = None
-    for name, df in tables.items():
-        listed = F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("data_type")) for c, kind in df.dtypes])
-        part = df.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(name).alias("table_name"), F.inline(listed), "rows")
-        whole = part if whole is None else whole.unionByName(part)
-    return whole
+def system_columns(spark: SparkSession, database: str | None = None, like: str | None = None) -> DataFrame:
+    """One row per column of the session catalog's tables and views: table, kind, column, type, place.
+
+    It asks the catalog alone and scans no table.
+    """
+    rows = []
+    for table in spark.catalog.listTables(database, like):
+        place = table.name if table.isTemporary else ".".join([*(table.namespace or []), table.name])
+        for i, column in enumerate(spark.catalog.listColumns(place), start=1):
+            rows.append({"table_name": table.name, "table_type": table.tableType, "column_name": column.name,
+                         "data_type": column.dataType, "position": i})
+    return literal_table(spark, rows, pa.schema([
+        ("table_name", pa.string()), ("table_type", pa.string()), ("column_name", pa.string()),
+        ("data_type", pa.string()), ("position", pa.int64())]))
 
 
 @contextmanager
