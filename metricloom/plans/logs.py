@@ -132,9 +132,9 @@ def json_bodies(spark, folder):
 @query("P20", """
 SELECT source, lang, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS characters
 FROM (SELECT source, lang, unnest(string_split(text, chr(10))) AS line FROM documents) l
-WHERE length(line) <= 400 GROUP BY 1, 2""")
+WHERE strlen(line) <= 400 GROUP BY 1, 2""")
 def long_lines(spark, folder):
-    """Document lines up to 400 characters; longer ones are skipped whole."""
+    """Document lines up to 400 bytes; longer ones are skipped whole."""
     lines = tables.table(spark, folder, "documents").select(
         "source", "lang", F.explode(F.split("text", "\n")).alias("value"))
     return L.skip_long_lines(lines, "value", 400).groupBy("source", "lang").agg(
