@@ -127,8 +127,8 @@ p as (select o.lang, o.source, o.m,
              case when o.n_rows >= 100 then o.q3 when l.n_rows >= 100 then l.q3 else a.q3 end as q3
       from q o join q l on l.kind = 'lang' and l.lang is not distinct from o.lang and l.m = o.m join q a on a.kind = 'all' and a.m = o.m
       where o.kind = 'own'),
-f as (select *, q3 + 3 * (q3 - q1) + case m when 'word_length' then 300 when 'symbols' then 100 when 'dup_lines' then 200 else 50 end as high,
-             case when m = 'word_length' then q1 - 3 * (q3 - q1) - 300 end as low from p),
+f as (select *, q3 + 3 * (q3 - q1) + case m when 'word_length' then 800 when 'symbols' then 100 when 'dup_lines' then 300 else 180 end as high,
+             case when m = 'word_length' then q1 - 3 * (q3 - q1) - 800 end as low from p),
 bad as (select distinct v.r from v join f on v.lang is not distinct from f.lang and v.source is not distinct from f.source and v.x.m = f.m
         where v.x.v > f.high or v.x.v < f.low)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -19,7 +19,7 @@ WINDOW = 5
 # a group of fewer rows takes the fences of its language, and that of all rows in turn
 LEAST_ROWS = 100
 # interquartile ranges beyond the quartiles, and what is added in thousandths; a measure without a lower fence has None
-FENCES = {"word_length": (3, 300, 300), "symbols": (3, None, 100), "dup_lines": (3, None, 200), "repeats": (3, None, 50)}
+FENCES = {"word_length": (3, 800, 800), "symbols": (3, None, 100), "dup_lines": (3, None, 300), "repeats": (3, None, 180)}
 
 
 def text_measures(docs: DataFrame) -> DataFrame:
