@@ -113,9 +113,14 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes, wherever it lies."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * _powers(BASE, len(data)), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _powers(INVERSE, len(data) + 1)[starts])
+    return place_hashes(_BYTE_VALUES[data], starts, ends)
+
+
+def place_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of places that hold 64-bit values, wherever it lies."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(BASE, len(values)), out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _powers(INVERSE, len(values) + 1)[starts])
 
 
 def grams(hashes: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

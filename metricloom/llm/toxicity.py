@@ -58,13 +58,21 @@ def _passages(row: np.ndarray, rows: int) -> np.ndarray:
 
 
 def bags(texts: pa.Array) -> Bags:
-    chars = C.characters(texts)
-    starts, ends, row = _places(chars)
-    data = np.ascontiguousarray(chars.codes).view(np.uint8)
-    _, at, words = np.unique(S.span_hashes(data, 4 * starts, 4 * ends), return_index=True, return_inverse=True)
+    # word by word, slice by slice; a word is known by its hash
+    names: dict[int, str] = {}
+    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for low, high in S.slices(texts, S.SLICE_BYTES // 4):
+        chars = C.characters(texts.slice(low, high - low))
+        starts, ends, row = _places(chars)
+        hashes.append(S.place_hashes(S.mixed(chars.codes.astype(np.uint64) + np.uint64(1)), starts, ends))
+        rows.append(low + row)
+        for name, at in zip(*np.unique(hashes[-1], return_index=True), strict=True):
+            if name not in names:
+                names[int(name)] = chars.codes[starts[at]:ends[at]].tobytes().decode("utf-32-le")
+    known = np.sort(np.array(list(names), np.uint64))
+    words, row = np.searchsorted(known, np.concatenate(hashes)), np.concatenate(rows)
     # n-grams of the distinct words alone, each word a row of its own
-    own = C.characters(pa.array(
-        [chars.codes[a:b].tobytes().decode("utf-32-le") for a, b in zip(starts[at], ends[at], strict=True)], pa.string()))
+    own = C.characters(pa.array([names[h] for h in known.tolist()], pa.string()))
     parts = []
     for bucket, counts in C.grams(own, SIZES, BITS):
         places = np.flatnonzero(counts)
@@ -72,9 +80,9 @@ def bags(texts: pa.Array) -> Bags:
     word = np.concatenate([p[0] for p in parts])
     order = np.argsort(word, kind="stable")
     grams = np.concatenate([p[1] for p in parts])[order]
-    passages = _passages(row, len(chars))
+    passages = _passages(row, len(texts))
     return Bags(
-        grams, np.searchsorted(word[order], np.arange(len(at) + 1)), words, passages, row[passages], len(chars))
+        grams, np.searchsorted(word[order], np.arange(len(known) + 1)), words, passages, row[passages], len(texts))
 
 
 def _sums(values: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
