@@ -15,7 +15,7 @@ from metricloom.operators.olap import write_segments
 from metricloom.operators.prefix import number_block
 from metricloom.plans.normalise import dims_text
 from metricloom.plans.registry import query
-from metricloom.plans.views import bucket, sql, values_list
+from metricloom.plans.views import sql, values_list
 from metricloom.session import scratch_path
 from metricloom.sources import tables, text
 
