@@ -26,8 +26,8 @@ SIZES = (3, 4, 5)
 BITS = 17
 DIMENSION = 8
 PASSAGE = 8
-# the bound of what is fitted in one process: documents of a label, and characters of a document
-TRAIN_ROWS, TRAIN_CHARACTERS = 1_500, 4_000
+# the bound of what is fitted in one process: documents of a label, and characters of them all
+TRAIN_ROWS, TRAIN_CHARACTERS = 1_500, 6_000_000
 EPOCHS, RATE, DECAY, NEGATIVE_WEIGHT = 60, 0.05, 2e-5, 2.0
 
 
@@ -174,20 +174,29 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def examples(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_CHARACTERS) -> pa.Table:
     """(text, toxic) of up to ``rows`` labelled documents for each label that aren't held out.
 
-    Documents are taken in the order of a hash of doc_id, so reruns agree; longer ones than ``most``
-    characters are passed over. These two bounds are all that one process ever holds.
+    Documents are taken whole and of any length, in the order of a hash of doc_id, so reruns agree; one that
+    would bring its label beyond ``most`` characters is passed over. These two bounds are all that one
+    process ever holds.
     """
     known = labels.select(labels["doc_id"].cast("bigint").alias("id"), labels["toxic"].cast("int").alias("toxic")).where(
         "id is not null and toxic in (0, 1)").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    short = docs.where(docs["text"].isNotNull() & (F.length(docs["text"]) <= most)).select(
-        docs["doc_id"].cast("bigint").alias("doc_id"))
-    usable = known.join(short, known["id"] == short["doc_id"], "left_semi")
-    picked = [usable.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(rows) for label in (0, 1)]
-    chosen = picked[0].union(picked[1])
-    texts = docs.where(F.length(docs["text"]) <= most).select(
+    sizes = docs.where(docs["text"].isNotNull()).select(
+        docs["doc_id"].cast("bigint").alias("doc_id"), F.length(docs["text"].cast("string")).cast("bigint").alias("size"))
+    usable = known.join(sizes, known["id"] == sizes["doc_id"]).groupBy("id", "toxic").agg(F.sum("size").alias("size")).where(
+        F.col("size") <= most)
+    ids, marks = [], []
+    for label in (0, 1):
+        held = 0
+        for row in usable.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(rows).collect():
+            if held + row["size"] <= most:
+                held += row["size"]
+                ids.append(row["id"])
+                marks.append(label)
+    chosen = docs.sparkSession.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "toxic": pa.array(marks, pa.int32())}))
+    texts = docs.where(docs["text"].isNotNull()).select(
         docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     found = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["id"])
-    return found.orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "text").limit(2 * rows).select("text", "toxic").toArrow()
+    return found.orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "text").select("text", "toxic").toArrow()
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

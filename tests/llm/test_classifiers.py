@@ -45,6 +45,21 @@ def test_toxicity_finds_held_out_and_misspelt_words(spark):
     assert again[10_000] > again[10_001]
 
 
+def test_long_clean_documents_stay_clean(spark):
+    rows, marks = toxic_rows()
+    rng = random.Random(9)
+    rows += [(1000 + i, " ".join(prose(rng, 6_000))) for i in range(60)]
+    marks += [(1000 + i, 1, 0) for i in range(60)]
+    taken = toxicity.examples(documents(spark, rows), labels(spark, marks))
+    assert sum(len(t) > 20_000 for t in taken["text"].to_pylist()) > 30
+    assert toxicity.examples(documents(spark, rows), labels(spark, marks), most=60_000)["toxic"].to_pylist().count(0) < 150
+    got = {r["doc_id"]: r for r in toxicity.scores(documents(spark, rows), labels(spark, marks)).collect()}
+    held = [i for i, _, t in marks if zlib.crc32(str(i).encode()) % 5 == 0 and not t]
+    long = [got[i]["predicted"] for i in held if i >= 1000]
+    assert len(long) > 5 and sum(long) == 0
+    assert np.mean([got[i]["predicted"] for i in held]) < 0.05
+
+
 def test_labels_of_held_out_rows_change_nothing(spark):
     rows, marks = toxic_rows(200)
     turned = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in marks]
