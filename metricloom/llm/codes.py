@@ -193,9 +193,12 @@ def _encoder(definition: str) -> Encoder:
     return _ENCODERS[name]
 
 
-def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> None:
+def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS,
+                 order: str | None = None) -> None:
     """Tokenize ``docs`` (doc_id, text) and write codes to ``path`` in ascending doc_id order.
 
+    With ``order``, a column of ``docs`` such as a position in training, its order comes before that of doc_id.
+
     ``definition`` is the JSON of a byte-level tokenizer. ``end_id`` follows every document. A null
     text is an empty one; a null doc_id comes first; rows of one doc_id come in the order of a hash of
     their texts. A document is never cut, so a shard holds ``shard_tokens`` or one longer document.
@@ -227,10 +230,12 @@ def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int = 0, s
         if held:
             yield shard(part, number, ids, held)
 
+    first = [] if order is None else [docs[order].alias("place")]
     rows = docs.select(
-        docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"),
+        docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"), *first,
     ).withColumn("tie", F.xxhash64("text"))
-    rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select(
+    keys = [*(["place"] if first else []), "doc_id", "tie"]
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "text").select(
         "doc_id", "text",
     ).mapInArrow(
         run, "part int, shard int, n_tokens bigint, doc_ids array<bigint>, ends array<bigint>, codes binary",

@@ -120,12 +120,13 @@ def mixed_sizes(docs: DataFrame, **settings) -> DataFrame:
     ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+def mixed_documents(docs: DataFrame, place: str | None = None, **settings) -> DataFrame:
     """The rows of the mix in training order, with the columns of ``docs``: one row for each pass that takes words.
 
     A row that a target cuts holds its first words only, joined by single blanks, and n_chars (where
     ``docs`` has it) counts what is left. Rows of which nothing is taken are gone. Nulls, repeated
-    rows and empty tables as in ``mixture``; other columns stay, whatever their names.
+    rows and empty tables as in ``mixture``; other columns stay, whatever their names. With ``place``, a
+    further column of that name has the row's first place in the mix.
     """
     columns = docs.columns
     rows = docs.select(
@@ -145,4 +146,5 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
         "n_chars": F.when(whole, F.col("row")["n_chars"]).otherwise(F.length("cut")) if "n_chars" in columns else None,
     }
     return made.orderBy("position", "doc_id").select(
-        *[(values[c] if c in values else F.col("row")[c]).alias(c) for c in columns])
+        *[(values[c] if c in values else F.col("row")[c]).alias(c) for c in columns],
+        *([] if place is None else [F.col("position").alias(place)]))

@@ -1,9 +1,12 @@
 import math
 import random
+import uuid
 
 import pytest
 
-from metricloom.llm import mixing
+from metricloom.llm import codes, mixing
+from metricloom.llm.queries import tokenizer_definition
+from metricloom.session import scratch_path
 from tests.llm.support import documents, odd_rows, prose, rows_of
 
 
@@ -79,6 +82,18 @@ def test_mixed_documents_hold_what_is_taken(spark):
     assert words == {r["doc_id"]: r["taken"] for r in mixing.mixed_sizes(docs).collect() if r["taken"]}
 
 
+def test_token_files_follow_the_curriculum(spark):
+    definition, files = tokenizer_definition(), []
+    _, docs = mix(spark)
+    for schedules in (mixing.SCHEDULES, [(b, a) for a, b in mixing.SCHEDULES]):
+        out = mixing.mixed_documents(docs, place="position", schedules=schedules)
+        path = scratch_path(spark, "placed-" + uuid.uuid4().hex)
+        codes.write_tokens(out, path, definition, order="position")
+        files.append([r["doc_id"] for r in sorted(codes.read_documents(spark, path).collect(), key=lambda r: r["start"])])
+        assert files[-1] == [r["doc_id"] for r in sorted(out.collect(), key=lambda r: (r["position"], r["doc_id"]))]
+    assert files[0] != files[1] and sorted(files[0]) == sorted(files[1])
+
+
 def test_odd_and_empty_tables(spark):
     rows = odd_rows()
     docs = documents(spark, rows, extra=True)
