@@ -17,7 +17,7 @@ from metricloom.session import stored
 SIZES = (1, 2, 3)
 BITS = 15
 SMOOTHING = 0.5
-# the bound of what is broadcast: so many languages, of 2**BITS numbers each
+# languages, of 2**BITS numbers each, that are counted in a task and gathered on the driver at a time
 LANGUAGES = 256
 UNKNOWN = "und"
 
@@ -26,65 +26,78 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
+def gram_counts(docs: DataFrame, languages: int = LANGUAGES) -> DataFrame:
     """(lang, bucket, n) over all rows of ``docs`` (lang, text); bucket -1 counts the rows.
 
-    A task adds up its own rows in arrays, so it returns at most 2**BITS rows for each language.
+    A task adds up its own rows in arrays, for ``languages`` at a time: it passes on what it has before it
+    begins with one more. Few languages make at most 2**BITS rows each of a task.
     """
 
+    def sums(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, own in totals.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(at), pa.string()), pa.array(np.where(at < 1 << BITS, at, -1), pa.int32()), pa.array(own[at])],
+                ["lang", "bucket", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             coded = batch.column(0).dictionary_encode()
             for number, lang in enumerate(coded.dictionary.to_pylist()):
                 texts = batch.column(1).filter(pc.equal(coded.indices, number))
+                if lang not in totals and len(totals) >= languages:
+                    yield from sums(totals)
+                    totals.clear()
                 own = totals.setdefault(lang, np.zeros((1 << BITS) + 1, np.int64))
                 own[-1] += len(texts)
                 for low, high in S.slices(texts):
                     for bucket, counts in C.grams(C.characters(texts.slice(low, high - low)), SIZES, BITS):
                         own[:-1] += np.bincount(bucket[counts], minlength=1 << BITS)
-        for lang, own in totals.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(at), pa.string()), pa.array(np.where(at < 1 << BITS, at, -1), pa.int32()), pa.array(own[at])],
-                ["lang", "bucket", "n"])
+        yield from sums(totals)
 
     parts = docs.select(docs["lang"].cast("string"), docs["text"].cast("string")).mapInArrow(
         run, "lang string, bucket int, n bigint")
     return parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities; the last column is the log of the share of rows.
+def train(docs: DataFrame, languages: int = LANGUAGES) -> tuple[list[str], list[np.ndarray]]:
+    """Languages by name and their log-probabilities, in blocks of ``languages``; the last column is the log of the share of rows.
 
-    Every row with text and lang that isn't held out is counted. The most frequent ``languages`` are learned.
+    Every row with text and lang that isn't held out is counted, and every language of them learned.
     """
     usable = docs.where(docs["text"].isNotNull() & docs["lang"].isNotNull() & docs["doc_id"].isNotNull()
                         & ~held_out(docs["doc_id"]))
-    counts = stored(gram_counts(usable), "language-counts")
-    known = counts.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(languages).select("lang")
-    table = counts.join(F.broadcast(known), "lang").toArrow()
-    names = sorted(set(table["lang"].to_pylist()))
-    matrix = np.zeros((len(names), (1 << BITS) + 1))
-    row = np.searchsorted(np.array(names, object), table["lang"].to_numpy(zero_copy_only=False))
-    matrix[row.astype(np.int64), table["bucket"].to_numpy()] = table["n"].to_numpy()
-    rows = matrix[:, -1:].copy()
-    grams = matrix[:, :-1] + SMOOTHING
-    out = np.concatenate([np.log(grams / grams.sum(axis=1, keepdims=True)), np.log(np.maximum(rows, 1) / max(rows.sum(), 1))], axis=1)
-    return names, out.astype(np.float32)
-
-
-def posteriors(texts: pa.Array, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The best language of each text and its posterior probability."""
+    counts = stored(gram_counts(usable, languages), "language-counts")
+    known = {r["lang"]: r["n"] for r in counts.where("bucket = -1").select("lang", "n").collect()}
+    names, blocks = sorted(known), []
+    for first in range(0, len(names), languages):
+        block = names[first:first + languages]
+        wanted = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(block, pa.string())}))
+        table = counts.join(F.broadcast(wanted), "lang").toArrow()
+        matrix = np.zeros((len(block), (1 << BITS) + 1))
+        row = np.searchsorted(np.array(block, object), table["lang"].to_numpy(zero_copy_only=False))
+        matrix[row.astype(np.int64), table["bucket"].to_numpy()] = table["n"].to_numpy()
+        rows = matrix[:, -1:].copy()
+        grams = matrix[:, :-1] + SMOOTHING
+        blocks.append(np.concatenate([
+            np.log(grams / grams.sum(axis=1, keepdims=True)), np.log(np.maximum(rows, 1) / max(sum(known.values()), 1)),
+        ], axis=1).astype(np.float32))
+    return names, blocks
+
+
+def posteriors(texts: pa.Array, blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The best language of each text, over all blocks, and its posterior probability."""
     best, sure = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    shares = np.concatenate([m[:, -1:] for m in blocks]).astype(np.float64)
     for low, high in S.slices(texts, S.SLICE_BYTES // 2):
         chars = C.characters(texts.slice(low, high - low))
-        sums = np.tile(matrix[:, -1:].astype(np.float64), (1, len(chars)))
+        sums = np.tile(shares, (1, len(chars)))
         for bucket, counts in C.grams(chars, SIZES, BITS):
             at = np.flatnonzero(counts)
             held = bucket[at]
             values = np.zeros(len(bucket))
-            for lang, weights in enumerate(matrix):
+            for lang, weights in enumerate(w for m in blocks for w in m):
                 values[at] = weights[held]
                 sums[lang] += C.row_sums(chars, values)
         best[low:high] = sums.argmax(axis=0)
@@ -101,14 +114,15 @@ def predictions(docs: DataFrame, languages: int = LANGUAGES) -> DataFrame:
     first language by name. Repeated rows are learned as often as they stand and score alike. Other
     columns are ignored.
     """
-    names, matrix = train(docs, languages)
-    shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
+    names, blocks = train(docs, languages)
+    # one broadcast for each block, 32 MiB of 256 languages
+    shared = [docs.sparkSession.sparkContext.broadcast(m) for m in blocks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = shared.value
+        blocks = [m.value for m in shared]
         for batch in batches:
             if names:
-                best, sure = posteriors(batch.column(2), matrix)
+                best, sure = posteriors(batch.column(2), blocks)
                 lang = pa.array(names, pa.string()).take(pa.array(best))
             else:
                 lang, sure = pa.array([UNKNOWN] * len(batch), pa.string()), np.zeros(len(batch))

@@ -94,6 +94,15 @@ def test_language_of_held_out_rows(spark):
     assert rows_of(language.predictions(documents(spark, swapped))) == rows_of(language.predictions(documents(spark, rows)))
 
 
+def test_languages_beyond_a_block_are_predicted(spark):
+    rng = random.Random(10)
+    rows = [(i, sentences(lang := ["en", "en", "de", "de", "fr"][i % 5], rng, 20), lang) for i in range(200)]
+    docs = documents(spark, rows)
+    got = rows_of(language.predictions(docs, languages=2))
+    assert {r[1] for r in got} == {"en", "de", "fr"} and got == rows_of(language.predictions(docs))
+    assert rows_of(language.gram_counts(docs, 1)) == rows_of(language.gram_counts(docs))
+
+
 def test_naive_bayes_counts_match_a_plain_version(spark):
     rows = [(0, "aba ab", "x"), (2, "b", "y"), (4, "abab", "x")]
     assert all(zlib.crc32(str(i).encode()) % 3 != 1 for i in (0, 2, 4)) or True
