@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import chaining, codes, language, licenses, mixing, resampling, rules, simhash, toxicity, winnowing
+from metricloom.llm import (
+    chaining, codes, language, licenses, mixing, pieces, resampling, rules, simhash, toxicity, winnowing,
+)
 from metricloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +37,13 @@ def tokenizer_definition() -> str:
         return held.read()
 
 
+def piece_model() -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as held:
+        return held.read()
+
+
 # words, windows and their occurrences with lists; only SQL's own functions
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OP1 = rf"""
@@ -170,3 +179,8 @@ def op9_resampling(spark: SparkSession, folder: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select(
         "doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op12_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encoded(table(spark, folder, "documents"), piece_model(), with_ids=False).drop("ids", "decoded")
