@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.llm import (
-    chaining, codes, language, licenses, mixing, pieces, resampling, rules, simhash, toxicity, winnowing,
+    chaining, codes, language, licenses, mixing, negatives, phrases, pieces, resampling, rules, simhash, toxicity, winnowing,
 )
 from metricloom.session import scratch_path
 
@@ -181,6 +181,55 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+OP11 = r"""
+with t as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[.,;:!?\x0A-\x0D]')) as piece from documents),
+p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from t),
+g as (select lang, k, w[i:i + k - 1] as ws from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from p, (select unnest([1, 2, 3, 4]) as k) where len(w) >= k)),
+f as (select lang, k, array_to_string(ws, ' ') as phrase, any_value(ws) as ws, count(*) as a from g group by lang, k, array_to_string(ws, ' ')),
+totals as (select lang, cast(sum(a) as bigint) as n from f where k = 1 group by lang),
+cand as (select * from f where k >= 2 and a >= 30),
+cuts as (select lang, phrase, k, a, j, array_to_string(ws[1:j], ' ') as left_part, array_to_string(ws[j + 1:k], ' ') as right_part
+         from (select *, unnest(range(1, k)) as j from cand)),
+scores as (select c.lang, c.phrase, c.k, c.a, c.j, l.a as l, r.a as r, cast((2000000::hugeint * c.a) // (l.a + r.a) as bigint) as score
+           from cuts c join f l on l.lang = c.lang and l.phrase = c.left_part and l.k = c.j
+                join f r on r.lang = c.lang and r.phrase = c.right_part and r.k = c.k - c.j),
+lowest as (select * from (select *, row_number() over (partition by lang, phrase order by score, j) as o from scores) where o = 1),
+inside as (select lang, array_to_string(ws[i:i + m - 1], ' ') as phrase, max(a) as most
+           from (select lang, ws, a, k, m, unnest(range(1, k - m + 2)) as i from cand, (select unnest([2, 3]) as m) where m < k) group by 1, 2),
+kept as (select w.* from lowest w left join inside i using (lang, phrase) where i.most is null or 100 * i.most::hugeint < 80 * w.a::hugeint),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+
+@query(OP11)
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.phrases(table(spark, folder, "documents"))
+
+
 @query()
 def op12_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encoded(table(spark, folder, "documents"), piece_model(), with_ids=False).drop("ids", "decoded")
+
+
+OP13 = r"""
+with e as (select vec_id, embedding, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label from embeddings
+           where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+r as (select row_number() over () as uid, vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as v from e),
+p as (select a.uid as anchor, a.vec_id as anchor_id, a.label as anchor_label, b.uid as other, b.vec_id as other_id, b.label as other_label,
+             cast(list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2])) as bigint) as score
+      from r a join r b on a.uid <> b.uid where a.vec_id % 50 = 0),
+pos as (select anchor, anchor_id, other as positive, other_id as positive_id, score as positive_score
+        from (select *, row_number() over (partition by anchor order by score desc, other_id nulls last, other) as o from p where other_label = anchor_label)
+        where o <= 5),
+neg as (select pos.*, p.other_id as negative_id, p.score as negative_score,
+               row_number() over (partition by anchor, positive order by p.score desc, p.other_id nulls last, p.other) as o
+        from pos join p using (anchor) where p.other_label <> p.anchor_label and 50 * positive_score <= 100 * p.score and 100 * p.score <= 95 * positive_score)
+select anchor_id, positive_id, cast(o as int) as rank, negative_id, positive_score, negative_score from neg where o <= 3
+"""
+
+
+@query(OP13)
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, folder, "embeddings"))
