@@ -2,8 +2,9 @@
 
 A text is cut where no piece of the vocabulary could reach across; within a stretch, an agenda holds
 the adjacent pairs of symbols that make a piece, best score first and leftmost on ties, and the top
-pair is merged until none is left. Texts go through in Arrow batches, and the sentencepiece library
-encodes and decodes each batch too, so every row says whether the two agree.
+pair is merged until none is left. Texts go through in Arrow batches; the sentencepiece library encodes every stretch
+that a batch brings anew and decodes every text, so each row says whether the two agree. Stretches come again and again,
+so most of a batch has been merged and checked before.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 # distinct stretches in each half of what a worker remembers, and the longest it remembers
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 64
-SLICE_ROWS = 256
+REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
+# texts encoded between two checks
+SLICE_ROWS = 64
 
 
 def _one_by_one(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -55,12 +57,20 @@ class Vocabulary:
         self.surface[model.unk_id()] = " ⁇ ".encode()
         self.silent = {i for i in range(size) if special[i] and i != model.unk_id()}
         self.byte_ids = set(self.bytes.values())
-        self.stretch = self._stretches()
+        longer = {c for piece in self.pieces if len(piece) > 1 for c in piece}
+        # characters that are in no longer piece stand alone; the first keeps stretches apart in a check
+        self.lone = [chr(c) for c in range(128) if chr(c) not in longer and c != 0x20]
+        if not self.lone:
+            raise ValueError("a model without an ASCII character that stands alone isn't read")
+        self.stretch = self._stretches(longer)
         # two halves: what was used lately, and what was used before that
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
         self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        # stretches that were merged and not checked yet, and those that the library cuts otherwise
+        self.unchecked: dict[str, tuple[int, ...]] = {}
+        self.wrong: set[str] = set()
 
-    def _stretches(self) -> re.Pattern:
+    def _stretches(self, longer: set[str]) -> re.Pattern:
         """Stretches that no piece reaches across.
 
         Three cuts, each made only if the pieces allow it: around an ASCII character that is in no longer piece,
@@ -69,18 +79,17 @@ class Vocabulary:
         """
         if any(SPACE in piece.lstrip(SPACE) for piece in self.pieces):
             return re.compile("(?s:.+)")
-        longer = {c for piece in self.pieces if len(piece) > 1 for c in piece}
-        lone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in longer and c != 0x20)
+        lone = "".join(map(re.escape, self.lone))
         beside = {x for piece in self.pieces for x in zip(piece, piece[1:]) if SPACE not in x}
         letters = {c for pair in beside for c in pair if c.isalpha()}
         while joined := {c for pair in beside if (pair[0] in letters) != (pair[1] in letters) for c in pair} - letters:
             letters |= joined
         joined = "".join(re.escape(c) for c in sorted(letters) if not c.isalpha())
-        lone_part, joined_part = f"[{lone}]|" if lone else "", f"|[{joined}]" if joined else ""
+        joined_part = f"|[{joined}]" if joined else ""
         # the class of letters, digits aside, without what is no letter in it
         odd = "".join(re.escape(c) for c in sorted(longer) if not c.isalpha() and re.fullmatch(r"[^\W\d_]", c))
         letter = rf"(?:[^\W\d_{lone}{odd}{SPACE}]{joined_part})"
-        return re.compile(rf"{lone_part}{SPACE}*{letter}+|{SPACE}*(?:(?!{letter})[^{lone}{SPACE}])+|{SPACE}+")
+        return re.compile(rf"[{lone}]|{SPACE}*{letter}+|{SPACE}*(?:(?!{letter})[^{lone}{SPACE}])+|{SPACE}+")
 
     def merged(self, stretch: str) -> list[int]:
         """Ids of a stretch by the agenda of adjacent pairs."""
@@ -125,7 +134,7 @@ class Vocabulary:
         """A stretch's ids and decimals, from the older half of what is remembered or anew."""
         held = self.older.get(stretch)
         if held is None:
-            made = tuple(self.merged(stretch))
+            made = self.unchecked[stretch] = tuple(self.merged(stretch))
             held = made, " ".join(map(str, made))
         if len(stretch) <= REMEMBERED_LENGTH:
             if len(self.known) >= REMEMBERED:
@@ -144,6 +153,25 @@ class Vocabulary:
                 names.append(held[1])
         return ids, " ".join(names)
 
+    def check(self) -> None:
+        """Let the library encode what was merged since the last check, all in one text, and keep what differs.
+
+        A character that stands alone keeps each stretch apart from the one before.
+        """
+        stretches, self.unchecked = self.unchecked, {}
+        apart = self.lone[0]
+        front, between = list(self.pieces.get(SPACE, ())[:1]), self.merged(apart)
+        expected = front + [i for made in stretches.values() for i in (*between, *made)]
+        if not stretches or self.library.encode("".join(apart + s for s in stretches)) == expected:
+            return
+        self.wrong |= {s for s, made in stretches.items() if self.library.encode(apart + s) != [*front, *between, *made]}
+
+    def agrees(self, text: str, ids: list[int], decoded: str) -> bool:
+        """Whether the library has the same ids, as far as its view of the stretches says, and decodes them alike."""
+        if self.wrong and not self.wrong.isdisjoint(self.stretch.findall(SPACE + text.replace(" ", SPACE))):
+            return False
+        return self.library.decode(ids) == decoded
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces in a row, the first space mark dropped, invalid bytes replaced one by one."""
         surface = self.surface
@@ -177,8 +205,8 @@ def encoded(docs: DataFrame, definition: bytes, add_end: bool = True, with_ids:
 
     ``definition`` holds the bytes of a merge-type model with byte pieces. ``ids`` ends with the end
     id if ``add_end``; ``decoded`` is the text that the ids stand for; the hashes are of the decimal ids joined by
-    one blank and of ``decoded``. ``agrees`` is true where the sentencepiece library gives the same ids and the same
-    text. ``with_ids`` false leaves ``ids`` and ``decoded`` null, where only the hashes are wanted.
+    one blank and of ``decoded``. ``agrees`` is true where the sentencepiece library encodes all stretches of the text
+    to the same ids and decodes them to the same text. ``with_ids`` false leaves ``ids`` and ``decoded`` null, where only the hashes are wanted.
 
     A null text is an empty one and has the end id alone. Rows, also repeated ones and those of null ids, are
     encoded one by one; a text is encoded whole and takes some 30 bytes a character in one task while it is, and one
@@ -193,9 +221,10 @@ def encoded(docs: DataFrame, definition: bytes, add_end: bool = True, with_ids:
             for low in range(0, len(whole), SLICE_ROWS):
                 batch = whole.slice(low, SLICE_ROWS)
                 held: dict[str, list] = {name: [] for name in ("ids", "decoded", "n", "ids_hash", "text_hash", "agrees")}
-                for text in batch.column(1):
-                    ids, names = model.encode(text.as_py() or "")
-                    theirs = model.library.encode(text.as_py() or "", add_eos=add_end)
+                texts = [text or "" for text in batch.column(1).to_pylist()]
+                made = [model.encode(text) for text in texts]
+                model.check()
+                for text, (ids, names) in zip(texts, made, strict=True):
                     ids += end
                     names = " ".join(filter(None, [names, *map(str, end)]))
                     decoded = model.decode(ids)
@@ -204,7 +233,7 @@ def encoded(docs: DataFrame, definition: bytes, add_end: bool = True, with_ids:
                     held["n"].append(len(ids))
                     held["ids_hash"].append(hashlib.sha256(names.encode()).hexdigest())
                     held["text_hash"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                    held["agrees"].append(theirs == ids and model.library.decode(theirs) == decoded)
+                    held["agrees"].append(model.agrees(text, ids, decoded))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0), pa.array(held["ids"], pa.list_(pa.int32())), pa.array(held["decoded"], pa.string()),
                     pa.array(held["n"], pa.int64()), pa.array(held["ids_hash"], pa.string()),

@@ -53,6 +53,23 @@ def test_a_small_memory_changes_nothing(model, monkeypatch):
     assert len(small.known) <= 3 and len(small.older) <= 3
 
 
+def test_what_the_library_cuts_otherwise_is_told(spark):
+    own = pieces.Vocabulary(piece_model())
+    own.encode("one two")
+    own.check()
+    assert not own.wrong and not own.unchecked
+    own.unchecked = {"▁one": (1, 2), "▁two": tuple(own.merged("▁two"))}
+    own.check()
+    assert own.wrong == {"▁one"}
+    assert not own.agrees("one two", *_both(own, "one two")) and own.agrees("two", *_both(own, "two"))
+    assert not own.agrees("two", own.encode("two")[0], "tw")
+
+
+def _both(own, text):
+    ids = own.encode(text)[0]
+    return ids, own.decode(ids)
+
+
 def test_long_text_without_blanks(model):
     text = "theinga" * 30_000
     assert model.encode(text)[0] == model.library.encode(text)
