@@ -50,9 +50,11 @@ def datum_text(columns: list[Column]) -> Column:
 
 
 def admit(items: DataFrame, keys: list[str], order: list[str], block: Column, size: str = "size",
-          bound: int = QUEUE_BYTES, fold_rows: int = FOLD_ROWS) -> DataFrame:
+          bound: int = QUEUE_BYTES, fold_rows: int = FOLD_ROWS, free: DataFrame | None = None) -> DataFrame:
     """Add ``admitted``: an item enters iff used + size <= bound, a rejected one uses nothing.
 
+    ``free`` (keys, free) has the bytes that are left for keys whose queue isn't empty at first.
+
     ``order`` is unique within ``keys`` and its last column alone identifies a row there;
     ``block`` never decreases along ``order``. Keys and order hold no nulls.
 
@@ -68,6 +70,8 @@ def admit(items: DataFrame, keys: list[str], order: list[str], block: Column, si
     place_type = rows.select(place.alias("p")).schema["p"].dataType
     state = rows.select(*keys).distinct().select(
         *keys, F.lit(None).cast(place_type).alias("__after"), F.lit(bound).cast("bigint").alias("__free"))
+    if free is not None:
+        state = state.join(free, keys, "left").select(*keys, "__after", F.coalesce("free", "__free").alias("__free"))
     stretches, folded = [], []
     while True:
         state = settle(state, "admission-state")
