@@ -60,29 +60,43 @@ def _passages(row: np.ndarray, rows: int) -> np.ndarray:
 def bags(texts: pa.Array) -> Bags:
     # word by word, slice by slice; a word is known by its hash
     names: dict[int, str] = {}
-    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
     for low, high in S.slices(texts, S.SLICE_BYTES // 4):
         chars = C.characters(texts.slice(low, high - low))
         starts, ends, row = _places(chars)
         hashes.append(S.place_hashes(S.mixed(chars.codes.astype(np.uint64) + np.uint64(1)), starts, ends))
-        rows.append(low + row)
+        rows.append((low + row).astype(np.int32))
         for name, at in zip(*np.unique(hashes[-1], return_index=True), strict=True):
             if name not in names:
                 names[int(name)] = chars.codes[starts[at]:ends[at]].tobytes().decode("utf-32-le")
     known = np.sort(np.array(list(names), np.uint64))
-    words, row = np.searchsorted(known, np.concatenate(hashes)), np.concatenate(rows)
+    words = np.concatenate([np.searchsorted(known, h).astype(np.int32) for h in hashes])
+    row = np.concatenate(rows)
+    del hashes, rows
     # n-grams of the distinct words alone, each word a row of its own
     own = C.characters(pa.array([names[h] for h in known.tolist()], pa.string()))
-    parts = []
+    del names
+    grams, first = _word_grams(own, len(known))
+    passages = _passages(row, len(texts))
+    return Bags(grams, first, words, passages, row[passages], len(texts))
+
+
+def _word_grams(own: C.Characters, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams, word after word, and where each word's begin; held in 32 bits as there are millions."""
+    parts, sizes = [], np.zeros(n, np.int64)
     for bucket, counts in C.grams(own, SIZES, BITS):
         places = np.flatnonzero(counts)
-        parts.append((np.searchsorted(own.first, places, "right") - 1, bucket[places]))
-    word = np.concatenate([p[0] for p in parts])
-    order = np.argsort(word, kind="stable")
-    grams = np.concatenate([p[1] for p in parts])[order]
-    passages = _passages(row, len(texts))
-    return Bags(
-        grams, np.searchsorted(word[order], np.arange(len(known) + 1)), words, passages, row[passages], len(texts))
+        word = (np.searchsorted(own.first, places, "right") - 1).astype(np.int32)
+        parts.append((word, bucket[places].astype(np.int32)))
+        sizes += np.bincount(word, minlength=n)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    grams, upto = np.zeros(first[-1], np.int32), first[:-1].copy()
+    for word, bucket in parts:
+        count = np.bincount(word, minlength=n)
+        # a size's grams come in the order of the words, so each knows its place among its word's
+        grams[upto[word] + np.arange(len(word)) - (np.cumsum(count) - count)[word]] = bucket
+        upto += count
+    return grams, first
 
 
 def _sums(values: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -98,13 +112,15 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarray
         rate = (float(np.sum(toxic)) + 0.5) / (len(toxic) + 1.0)
         return weights, float(np.log(rate / (1 - rate)))
     rng = np.random.default_rng(seed)
-    active, grams = np.unique(made.grams, return_inverse=True)
-    order = np.argsort(grams, kind="stable")
-    by_gram = np.searchsorted(grams[order], np.arange(len(active)))
+    active = np.flatnonzero(np.bincount(made.grams, minlength=1 << BITS))
+    slot = np.zeros(1 << BITS, np.int32)
+    slot[active] = np.arange(len(active))
+    grams = slot[made.grams]
     n_grams = np.diff(made.gram_first)
-    owner = np.repeat(np.arange(len(n_grams)), n_grams)[order]
+    owner = np.repeat(np.arange(len(n_grams), dtype=np.int32), n_grams)[np.argsort(grams, kind="stable")]
+    by_gram = np.cumsum(np.bincount(grams, minlength=len(active))) - np.bincount(grams, minlength=len(active))
     n_words = np.diff(np.concatenate([made.passage_first, [len(made.words)]]))
-    passage_of_word = np.repeat(np.arange(len(n_words)), n_words)
+    passage_of_word = np.repeat(np.arange(len(n_words), dtype=np.int32), n_words)
     row_first = np.flatnonzero(np.diff(made.passage_row, prepend=-1))
     seen = made.passage_row[row_first]
     passage_slot = np.repeat(np.arange(len(row_first)), np.diff(np.concatenate([row_first, [len(n_words)]])))
