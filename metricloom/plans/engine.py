@@ -200,6 +200,18 @@ def query_context(spark, folder):
         return stored(lines_summary(tables.table(spark, folder, "lineitem")), "context")
 
 
+@query("E5", """
+SELECT CAST(date_trunc('day', ts - INTERVAL 5 HOUR) AS TIMESTAMP) AS day, event_type, count(*) AS events, min(ts) AS first
+FROM events GROUP BY 1, 2""")
+def context_time_zone(spark, folder):
+    """Days as a query's own time zone cuts them; in January that zone is five hours behind."""
+    instants = stored(tables.table(spark, folder, "events").withColumn("at", F.col("ts").cast("timestamp")), "instants")
+    with O.query_context(spark, spark__sql__session__timeZone="America/New_York"):
+        day = F.date_trunc("day", "at").cast("timestamp_ntz").alias("day")
+        return stored(instants.groupBy(day, "event_type").agg(
+            F.count(F.lit(1)).alias("events"), F.min("ts").alias("first")), "local-days")
+
+
 @query("E7", """
 SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS time, event_type, user_id % 10 AS shard, count(*) AS rows,
   round(sum(value), 6) AS "sum", min(value) AS "min", max(value) AS "max" FROM events GROUP BY 1, 2, 3""")
