@@ -113,3 +113,21 @@ def streamed_queue(spark, folder):
     last = spark.read.parquet(f"{path}/queue").where(F.col("epoch") == TURNS - 1).select(
         "event_id", "event_type", F.lit("waiting").alias("fate"), F.lit(None).cast("int").alias("turn"))
     return fates[0].unionByName(fates[1]).unionByName(last)
+
+
+@query("S12 T8", """
+SELECT event_id, event_type, user_id % 4 AS "partition" FROM events WHERE NOT (user_id % 4 = 1 AND event_id < 100)""")
+def streamed_topic(spark, folder):
+    """Events as a topic of four partitions, a tenth of each arrival sent again with the next; one partition begins at offset 100."""
+    rows = tables.table(spark, folder, "events").select(
+        "event_id", "event_type", (F.col("user_id") % 4).alias("partition"), F.col("event_id").alias("offset"))
+    path = scratch_path(spark, "topic")
+    rows.limit(0).write.parquet(f"{path}/in")
+    low, high = rows.agg(F.min("offset"), F.max("offset")).first()
+    slices = rows.withColumn("slice", F.floor((F.col("offset") - low) * 3 / (high - low + 1)) if low is not None else F.lit(0))
+    stream = formats.stream_events(spark, f"{path}/in", rows.schema)
+    for i in range(3):
+        again = (F.col("slice") == i - 1) & (F.col("offset") % 10 == 0)
+        slices.where((F.col("slice") == i) | again).select(*rows.columns).write.mode("append").parquet(f"{path}/in")
+        C.consume_topic(stream, f"{path}/out", f"{path}/checkpoint", {1: 100}, trigger=ONCE).awaitTermination()
+    return J.read_epochs(spark, f"{path}/out/records").select("event_id", "event_type", "partition")

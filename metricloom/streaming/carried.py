@@ -131,3 +131,34 @@ def bounded_queue(items: DataFrame, path: str, checkpoint: str, keys: list[str],
         _forget(batch, path, ("queue",), epoch)
 
     return start_batches(items, write, checkpoint, trigger)
+
+
+def consume_topic(records: DataFrame, path: str, checkpoint: str, start: dict[int, int] | None = None, partition: str = "partition",
+                  offset: str = "offset", trigger: dict | None = None) -> StreamingQuery:
+    """Take every record of a partitioned topic once, from the given offsets on.
+
+    ``records`` come with their partition and offset, in any order and as often as they like to be sent again. A record
+    below its partition's next offset was taken before, or lies before the offset to ``start`` at (0 where none is
+    given). ``path/records`` has the records, ``path/progress`` the next offset of every partition seen so far, a row for
+    each; this is all that is carried, so offsets of one partition must not come late by a micro-batch.
+    """
+    first = F.lit(0).cast("bigint")
+    for number, at in (start or {}).items():
+        first = F.when(F.col(partition) == number, F.lit(at).cast("bigint")).otherwise(first)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        with temporary_tables(batch.sparkSession):
+            known = _left(batch, path, "progress", epoch)
+            arrived = batch.where(F.col(partition).isNotNull() & F.col(offset).isNotNull())
+            if known is None:
+                due = arrived.withColumn("__next", first)
+            else:
+                due = arrived.join(known, partition, "left").withColumn("__next", F.coalesce("next", first)).drop("next")
+            fresh = stored(due.where(F.col(offset) >= F.col("__next")).drop("__next").dropDuplicates([partition, offset]), "records")
+            _leave(fresh.select(*batch.columns), path, "records", epoch)
+            reached = fresh.groupBy(partition).agg((F.max(offset) + 1).alias("next"))
+            both = reached if known is None else known.select(partition, "next").unionByName(reached)
+            _leave(both.groupBy(partition).agg(F.max("next").alias("next")), path, "progress", epoch)
+        _forget(batch, path, ("progress",), epoch)
+
+    return start_batches(records, write, checkpoint, trigger)

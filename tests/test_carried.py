@@ -120,3 +120,15 @@ def test_a_queue_lives_across_turns(spark, tmp_path, seed):
     # a queue that began empty at each turn would have taken more
     alone = [plain_queue([part], 200, 3)[1] for part in parts]
     assert len(lost) > sum(map(len, alone))
+
+
+def test_a_topic_is_read_once_from_the_offsets_on(spark, tmp_path):
+    record = "partition int, offset bigint, value string"
+    parts = [[(0, 0, "a"), (0, 1, "b"), (1, 5, "x"), (1, 6, "y"), (0, 1, "b")], [(0, 1, "b"), (0, 2, "c"), (1, 7, "z"), (2, 9, "n")],
+             [(1, 6, "y"), (2, 9, "n"), (None, 1, "-"), (2, None, "-"), (2, 12, "m")]]
+    fed(spark, tmp_path, record, parts, lambda rows: C.consume_topic(
+        rows, f"{tmp_path}/out", f"{tmp_path}/checkpoint", {1: 6}, trigger=ONCE))
+    got = sorted((r["partition"], r["offset"], r["value"]) for r in J.read_epochs(spark, f"{tmp_path}/out/records").collect())
+    assert got == [(0, 0, "a"), (0, 1, "b"), (0, 2, "c"), (1, 6, "y"), (1, 7, "z"), (2, 9, "n"), (2, 12, "m")]
+    progress = spark.read.parquet(f"{tmp_path}/out/progress").where("epoch = 2").collect()
+    assert {r["partition"]: r["next"] for r in progress} == {0: 3, 1: 8, 2: 13}
