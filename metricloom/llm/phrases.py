@@ -32,7 +32,7 @@ SCALE = 1_000_000
 COVERED = 80
 FILTER_BITS = 1 << 26
 # n-grams that a task merges before it passes them on
-HELD = 1 << 21
+HELD = 1 << 20
 # width of a step of the histogram of scores
 STEP = 64
 
@@ -127,32 +127,59 @@ def _gram(keys: list[np.ndarray], role: int) -> np.ndarray:
     return out
 
 
+class Spellings:
+    """The language and spelling of each id met so far, as Arrow arrays."""
+
+    def __init__(self):
+        self.ids, self.langs, self.words = [np.zeros(0, np.uint64)], [], []
+
+    def add(self, found: S.Words, ids: np.ndarray, langs: pa.Array) -> None:
+        new, at = np.unique(ids, return_index=True)
+        fresh = ~np.isin(new, self.ids[0], assume_unique=True)
+        new, at = new[fresh], at[fresh]
+        if not len(new):
+            return
+        sizes = found.ends[at] - found.starts[at]
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        data = found.data[np.repeat(found.starts[at] - offsets[:-1], sizes) + np.arange(offsets[-1])]
+        self.words.append(pa.Array.from_buffers(
+            pa.large_string(), len(new), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]))
+        self.langs.append(langs.take(pa.array(found.row[at])))
+        # all ids in one sorted array, and again in the order of the spellings
+        self.ids[0] = np.union1d(self.ids[0], new)
+        self.ids.append(new)
+
+    def drain(self, ids: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """(langs, words) of the given ids; then all are forgotten."""
+        own = np.concatenate(self.ids[1:])
+        order = np.argsort(own)
+        at = pa.array(order[np.searchsorted(own[order], ids)])
+        made = pa.concat_arrays(self.langs).cast(pa.string()).take(at), pa.concat_arrays(self.words).cast(pa.string()).take(at)
+        self.ids, self.langs, self.words = [np.zeros(0, np.uint64)], [], []
+        return made
+
+
 def _word_counts(docs: DataFrame, seed: int) -> DataFrame:
     """(id, second, lang, word, n): every word of every language with its occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, names = Tally(2), {}
+        tally, names = Tally(2), Spellings()
 
         def emit() -> pa.RecordBatch:
             ids, second, counts = tally.drain()
-            held = [names.get(x, (None, None)) for x in zip(ids.tolist(), second.tolist(), strict=True)]
-            names.clear()
+            langs, words = names.drain(ids)
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids.view(np.int64)), pa.array(second.view(np.int64)), pa.array([x[0] for x in held], pa.string()),
-                 pa.array([x[1] for x in held], pa.string()), pa.array(counts)], ["id", "second", "lang", "word", "n"])
+                [pa.array(ids.view(np.int64)), pa.array(second.view(np.int64)), langs, words, pa.array(counts)],
+                ["id", "second", "lang", "word", "n"])
 
         for batch in batches:
             for langs, texts in _texts(batch):
                 found, ids, second, _ = _tokens(langs, texts, seed)
-                if not len(ids):
-                    continue
-                _, at = np.unique(ids, return_index=True)
-                for i, x in zip(at.tolist(), zip(ids[at].tolist(), second[at].tolist(), strict=True), strict=True):
-                    if x not in names:
-                        names[x] = langs[int(found.row[i])].as_py(), found.text(i, i + 1)
-                tally.add([ids, second])
-                if len(names) > HELD // 8:
-                    yield emit()
+                if len(ids):
+                    names.add(found, ids, langs)
+                    tally.add([ids, second])
+                    if tally.full:
+                        yield emit()
         if tally.size:
             yield emit()
 

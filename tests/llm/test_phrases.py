@@ -68,10 +68,12 @@ def test_phrases_equal_a_plain_count(spark, top, least):
 
 
 def test_thresholds_are_lowered_until_enough_survive(spark, monkeypatch):
-    rows, rounds = corpus(9, 150, words=30), []
+    # pairs inside of phrases of four words score best and go, so the first threshold leaves too few
+    parts = [f"{'. '.join([f'a{i} b{i} c{i} d{i}'] * 10)}. {'. '.join([f'a{i}'] * i)}" for i in range(40)]
+    rows, rounds = [(i, text, "en") for i, text in enumerate(parts)], []
     lowered = P._thresholds
     monkeypatch.setattr(P, "_thresholds", lambda *a: rounds.append(1) or lowered(*a))
-    assert found(P.phrases(documents(spark, rows), 12, 2)) == plain(rows, 12, 2)
+    assert found(P.phrases(documents(spark, rows), 25, 2)) == plain(rows, 25, 2)
     assert len(rounds) > 2
 
 
