@@ -28,7 +28,7 @@ def test_entry(spark):
 
 
 SURVEY_ROWS = (
-    "S1 S2 S3 S4 S5 S6 S7 S8 S9 S10 S11 S13 S14 K1 K2 K3 K4 K5 K6 K7 "
+    "S1 S2 S3 S4 S5 S6 S7 S8 S9 S10 S11 S12 S13 S14 K1 K2 K3 K4 K5 K6 K7 "
     + " ".join(f"P{i}" for i in range(1, 26)) + " J1 J2 J3 J4 J5 J6 J7 J8 J9 "
     + " ".join(f"G{i}" for i in range(1, 18)) + " W1 W2 W3 W4 W5 W6 W7 O1 O2 O4 X1 X2 X3 X4 "
     + " ".join(f"R{i}" for i in range(1, 13)) + " " + " ".join(f"T{i}" for i in range(1, 10))
