@@ -125,19 +125,21 @@ v as (select r, doc_id, lang, source, base_failed, unnest([
         {'m': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1)}, {'m': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1)}]) as x from b),
 bins as (select lang, source, x.m as m, (x.v >> greatest(length(bin(x.v)) - 7, 0)) << greatest(length(bin(x.v)) - 7, 0) as bin, count(*) as n
          from v where not base_failed group by all),
-all_bins as (select 'own' as kind, lang, source, m, bin, n from bins union all
-             select 'lang', lang, null, m, bin, sum(n) from bins group by lang, m, bin union all
-             select 'all', null, null, m, bin, sum(n) from bins group by m, bin),
-upto as (select *, sum(n) over (partition by kind, lang, source, m order by bin) as upto, sum(n) over (partition by kind, lang, source, m) as n_rows from all_bins),
-q as (select kind, lang, source, m, max(n_rows) as n_rows, min(case when 4 * upto >= n_rows then bin end) as q1,
-             min(case when 4 * upto >= 3 * n_rows then bin end) as q3 from upto group by kind, lang, source, m),
-p as (select o.lang, o.source, o.m,
-             case when o.n_rows >= 100 then o.q1 when l.n_rows >= 100 then l.q1 else a.q1 end as q1,
-             case when o.n_rows >= 100 then o.q3 when l.n_rows >= 100 then l.q3 else a.q3 end as q3
-      from q o join q l on l.kind = 'lang' and l.lang is not distinct from o.lang and l.m = o.m join q a on a.kind = 'all' and a.m = o.m
-      where o.kind = 'own'),
-f as (select *, q3 + 3 * (q3 - q1) + case m when 'word_length' then 800 when 'symbols' then 100 when 'dup_lines' then 300 else 180 end as high,
-             case when m = 'word_length' then q1 - 3 * (q3 - q1) - 800 end as low from p),
+of_all as (select m, bin, cast(sum(n) as hugeint) as n_all from bins group by m, bin),
+of_lang as (select lang, m, bin, cast(sum(n) as hugeint) as n_lang from bins group by lang, m, bin),
+grid as (select g.lang, g.source, a.m, a.bin, n_all, coalesce(n_lang, 0) as n_lang, cast(coalesce(o.n, 0) as hugeint) as n_own
+         from (select distinct lang, source from bins) g cross join of_all a
+         left join of_lang l on l.lang is not distinct from g.lang and l.m = a.m and l.bin = a.bin
+         left join bins o on o.lang is not distinct from g.lang and o.source is not distinct from g.source and o.m = a.m and o.bin = a.bin),
+summed as (select *, sum(n_all) over g as t_all, sum(n_lang) over g as t_lang from grid window g as (partition by lang, source, m)),
+weighed as (select lang, source, m, bin, n_own * (t_all * (t_lang + 20)) + 20 * (n_lang * t_all + 20 * n_all) as w from summed),
+upto as (select *, sum(w) over (partition by lang, source, m order by bin) as upto, sum(w) over (partition by lang, source, m) as total from weighed),
+q as (select lang, source, m, min(case when 10 * upto >= total then bin end) as q10, min(case when 10 * upto >= 5 * total then bin end) as q50,
+             min(case when 10 * upto >= 9 * total then bin end) as q90 from upto group by lang, source, m),
+x as (select u.lang, u.source, u.m, q10, q50, q90, cast(10 * sum(greatest(bin - q90, 0) * w) // max(total) as bigint) as excess
+      from upto u join q on q.lang is not distinct from u.lang and q.source is not distinct from u.source and q.m = u.m group by all),
+f as (select *, q90 + greatest(2 * (q90 - q50), excess * case m when 'word_length' then 0 when 'symbols' then 1 else 5 end) as high,
+             case when m = 'word_length' then q10 - 2 * (q50 - q10) end as low from x),
 bad as (select distinct v.r from v join f on v.lang is not distinct from f.lang and v.source is not distinct from f.source and v.x.m = f.m
         where v.x.v > f.high or v.x.v < f.low)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

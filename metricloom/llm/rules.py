@@ -2,7 +2,12 @@
 
 Measures are whole numbers (thousandths). Their distribution in a group is kept as counts of bins that
 hold a number's seven highest binary digits: such a sketch is at most 1/64 off, its size doesn't grow
-with the rows, and sketches merge by adding counts. Quartiles read from the sketches set the fences.
+with the rows, and sketches merge by adding counts.
+
+Every group's sketch is blended with that of its language, and this with that of all rows, as if each held a few rows more
+of the wider one; so a group's fences move from the wider ones to its own as it grows, without a step. A fence
+lies beyond the outer tenth of the blended sketch, by a multiple of that tenth's distance from the median or, for measures
+that are zero in most texts and so have no such distance, of the mean excess of the outer tenth.
 """
 
 from __future__ import annotations
@@ -16,10 +21,11 @@ from metricloom.session import stored
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 5
-# a group of fewer rows takes the fences of its language, and that of all rows in turn
-LEAST_ROWS = 100
-# interquartile ranges beyond the quartiles, and what is added in thousandths; a measure without a lower fence has None
-FENCES = {"word_length": (3, 800, 800), "symbols": (3, None, 100), "dup_lines": (3, None, 300), "repeats": (3, None, 180)}
+# rows of the wider sketch that are blended into a group's
+PRIOR_ROWS = 20
+# of each measure: times the distance from the median to the outer tenth, times the mean excess of that tenth, and whether
+# there is a lower fence too. Repeats are common in clean pages, so their excess counts more often.
+FENCES = {"word_length": (2, 0, True), "symbols": (2, 1, False), "dup_lines": (2, 5, False), "repeats": (2, 5, False)}
 
 
 def text_measures(docs: DataFrame) -> DataFrame:
@@ -92,47 +98,62 @@ def sketches(rows: DataFrame) -> DataFrame:
     return flat.groupBy("lang", "source", "measure", bin_of(F.col("value")).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def _quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, measure, rows, q1, q3) from bins: the first bin at which a quarter, or three, of the rows are reached."""
-    merged = bins.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
-    group = W.partitionBy(*keys, "measure")
-    so_far = F.sum("n").over(group.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
-    placed = merged.withColumns({"upto": so_far, "rows": F.sum("n").over(group)})
-    return placed.groupBy(*keys, "measure").agg(
-        F.max("rows").alias("rows"),
-        F.min(F.when(4 * F.col("upto") >= F.col("rows"), F.col("bin"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("rows"), F.col("bin"))).alias("q3"))
-
-
-def fences(bins: DataFrame, least_rows: int = LEAST_ROWS, fences: dict = FENCES) -> DataFrame:
+def blended(bins: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """(lang, source, measure, bin, w): each group's sketch with ``prior_rows`` rows of its language's, which has as many
+    of all rows'. Weights are whole numbers, as all shares are brought to one denominator."""
+    wide = "decimal(38,0)"
+    own = bins.select(F.struct("lang", "source").alias("group"), "measure", "bin", F.col("n").cast(wide).alias("n_own"))
+    of_lang = bins.groupBy(F.struct("lang").alias("of"), "measure", "bin").agg(F.sum("n").cast(wide).alias("n_lang"))
+    of_all = bins.groupBy("measure", "bin").agg(F.sum("n").cast(wide).alias("n_all"))
+    groups = own.select("group", "measure").distinct()
+    # a sketch has some hundred bins, so a group has as many rows here
+    grid = groups.join(of_all, "measure").withColumn("of", F.struct(F.col("group.lang").alias("lang")))
+    filled = grid.join(of_lang, ["of", "measure", "bin"], "left").join(own, ["group", "measure", "bin"], "left").na.fill(
+        0, ["n_lang", "n_own"])
+    whole = W.partitionBy("group", "measure")
+    total = filled.withColumns({"t_lang": F.sum("n_lang").over(whole).cast(wide), "t_all": F.sum("n_all").over(whole).cast(wide)})
+    prior = F.lit(prior_rows).cast(wide)
+    weight = F.col("n_own") * ((F.col("t_all") * (F.col("t_lang") + prior).cast(wide)).cast(wide)) + prior * (
+        (F.col("n_lang") * F.col("t_all")).cast(wide) + (prior * F.col("n_all")).cast(wide)).cast(wide)
+    return total.select("group.lang", "group.source", "measure", "bin", weight.cast(wide).alias("w"))
+
+
+def fences(bins: DataFrame, prior_rows: int = PRIOR_ROWS, fences: dict = FENCES) -> DataFrame:
     """(lang, source, low_<measure>, high_<measure>) of every group in ``bins``."""
-    own, wider, widest = (_quartiles(bins, keys) for keys in (["lang", "source"], ["lang"], []))
-    renamed = lambda df, tag: df.withColumnsRenamed({c: f"{c}_{tag}" for c in ("rows", "q1", "q3", "lang", "measure")})
-    wider, widest = renamed(wider, "lang"), renamed(widest, "all")
-    joined = own.join(wider, own["lang"].eqNullSafe(wider["lang_lang"]) & (own["measure"] == wider["measure_lang"])).join(
-        widest, own["measure"] == widest["measure_all"])
-    pick = lambda q: F.when(F.col("rows") >= least_rows, F.col(q)).when(
-        F.col("rows_lang") >= least_rows, F.col(f"{q}_lang")).otherwise(F.col(f"{q}_all"))
-    picked = joined.select("lang", "source", "measure", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    group = ["lang", "source", "measure"]
+    whole = W.partitionBy(*group)
+    # some hundred rows for each group, read several times
+    placed = blended(stored(bins, "quality-sketches"), prior_rows).withColumns({
+        "upto": F.sum("w").over(whole.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)), "total": F.sum("w").over(whole)})
+
+    def reached(tenths: int) -> Column:
+        """The first bin up to which so many tenths of the sketch lie."""
+        return F.min(F.when(10 * F.col("upto") >= tenths * F.col("total"), F.col("bin"))).over(whole)
+
+    marked = placed.withColumns({"q10": reached(1), "q50": reached(5), "q90": reached(9)})
+    read = marked.groupBy(*group, "q10", "q50", "q90").agg(F.call_function(
+        "div", 10 * F.sum(F.greatest(F.col("bin") - F.col("q90"), F.lit(0)) * F.col("w")), F.max("total")).alias("excess"))
     made = []
-    for name, (ranges, below, above) in fences.items():
-        here, spread = F.col("measure") == name, F.col("q3") - F.col("q1")
-        made.append(F.max(F.when(here, F.col("q3") + ranges * spread + above)).alias(f"high_{name}"))
-        if below is not None:
-            made.append(F.max(F.when(here, F.col("q1") - ranges * spread - below)).alias(f"low_{name}"))
-    return picked.groupBy("lang", "source").agg(*made)
+    for name, (steps, times, lower) in fences.items():
+        here = F.col("measure") == name
+        beyond = F.greatest(steps * (F.col("q90") - F.col("q50")), times * F.col("excess"))
+        made.append(F.max(F.when(here, F.col("q90") + beyond)).alias(f"high_{name}"))
+        if lower:
+            made.append(F.max(F.when(here, F.col("q10") - steps * (F.col("q50") - F.col("q10")))).alias(f"low_{name}"))
+    return read.groupBy("lang", "source").agg(*made)
 
 
-def judged(docs: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
+def judged(docs: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """Every row's measures, ``base_failed`` and ``kept``.
 
     ``docs`` has doc_id, text, lang and source. A row is kept if it passes the base rules and no
     measure lies beyond its group's fences, which are made from the rows that pass the base rules. A
     null lang or source is a group of its own; a null or empty text has no words and fails the base;
-    repeated rows count as often as they stand; an empty table gives no rows. Other columns are ignored.
+    repeated rows count as often as they stand; an empty table gives no rows. A text is measured whole in its
+    own row, which takes some 40 bytes a character while it is. Other columns are ignored.
     """
     rows = stored(text_measures(docs).withColumn("base_failed", base_failed()), "quality-measures")
-    limits = fences(sketches(rows.where("not base_failed")), least_rows).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    limits = fences(sketches(rows.where("not base_failed")), prior_rows).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     # one row for each language and source: narrow, and stored so that its size is known before the join
     limits = stored(limits, "quality-fences")
     joined = rows.join(
@@ -140,6 +161,6 @@ def judged(docs: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     inside = F.lit(True)
     for name, measure in _measures().items():
         inside &= measure <= F.col(f"high_{name}")
-        if FENCES[name][1] is not None:
+        if FENCES[name][2]:
             inside &= measure >= F.col(f"low_{name}")
     return joined.select(*rows.columns, (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))

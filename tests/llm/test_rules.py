@@ -74,6 +74,55 @@ def test_small_groups_take_wider_fences(spark):
     assert kept[2000] and kept[2001] and kept[2002]
 
 
+def plain_fences(values, prior):
+    """(low, high) of word length and high of symbols for each group, in fractions."""
+    from fractions import Fraction
+
+    def share(rows):
+        own = Counter(rows)
+        return {b: Fraction(n, len(rows)) for b, n in own.items()}
+
+    out = {}
+    for measure, (steps, times, lower) in rules.FENCES.items():
+        bins = {k: [v >> max(0, v.bit_length() - 7) << max(0, v.bit_length() - 7) for v in vs[measure]] for k, vs in values.items()}
+        everything = share([b for bs in bins.values() for b in bs])
+        for (lang, source), own in bins.items():
+            of_lang = [b for k, bs in bins.items() if k[0] == lang for b in bs]
+            wider = {b: (of_lang.count(b) + prior * everything[b]) / (len(of_lang) + prior) for b in everything}
+            mixed = {b: own.count(b) + prior * wider[b] for b in everything}
+            total = sum(mixed.values())
+            reached = lambda p: min(b for b in mixed if sum(w for c, w in mixed.items() if c <= b) * 10 >= p * total)
+            q10, q50, q90 = reached(1), reached(5), reached(9)
+            excess = int(10 * sum(max(b - q90, 0) * w for b, w in mixed.items()) / total)
+            out[lang, source, measure] = (q10 - steps * (q50 - q10) if lower else None, q90 + max(steps * (q90 - q50), times * excess))
+    return out
+
+
+def test_fences_match_a_plain_version_and_have_no_step(spark):
+    rng = random.Random(3)
+    values = {}
+    for key in [("en", "a"), ("en", "b"), ("fr", "a"), (None, "a"), ("fr", None)]:
+        n = rng.choice([1, 3, 30, 99, 101])
+        values[key] = {m: [rng.choice([0, 0, 0, rng.randrange(9000)]) for _ in range(n)] for m in rules.FENCES}
+    bins = spark.createDataFrame(
+        [(lang, source, m, v >> max(0, v.bit_length() - 7) << max(0, v.bit_length() - 7)) for (lang, source), vs in values.items()
+         for m, own in vs.items() for v in own], "lang string, source string, measure string, bin bigint").groupBy(
+        "lang", "source", "measure", "bin").agg(rules.F.count("*").alias("n"))
+    want = plain_fences(values, 7)
+    for r in rules.fences(bins, 7).collect():
+        for m, (_, _, lower) in rules.FENCES.items():
+            low, high = want[r["lang"], r["source"], m]
+            assert r[f"high_{m}"] == high
+            assert not lower or r[f"low_{m}"] == low
+
+
+def test_fences_of_all_measures_differ_between_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = rules.stored(rules.text_measures(docs).withColumn("base_failed", rules.base_failed()), "measures")
+    limits = rules.fences(rules.sketches(rows.where("not base_failed"))).collect()
+    assert all(len({r[f"high_{m}"] for r in limits}) > 5 for m in rules.FENCES)
+
+
 def test_odd_and_empty_tables(spark):
     rows = odd_rows()
     got = rules.judged(documents(spark, rows, extra=True)).collect()
