@@ -221,7 +221,8 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Only labels of documents with crc32(doc_id) mod 5 other than 0 are learned; nothing but the text
     is scored. A null or empty text, or one without a word, scores 0. A null doc_id is scored and
     never learned; an id with two labels counts as toxic; repeated rows score alike. Without labels
-    of both kinds every text with words scores their rate. Other columns are ignored.
+    of both kinds every text with words scores their rate. A text of any length is scored whole, with some 100 bytes a
+    character in one task while it is. Other columns are ignored.
     """
     table = examples(docs, labels)
     weights, bias = train(table["text"].combine_chunks(), table["toxic"].to_numpy())
@@ -241,7 +242,11 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, with all their columns. Equal texts go together."""
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns, whatever their names.
+
+    Equal texts, repeated rows too, go together; null, empty and wordless texts score 0 and stay, null ids are judged
+    like others, and an empty table gives no rows.
+    """
     toxic = scores(docs, labels).where("predicted = 1").select(F.col("key").alias("bad")).distinct()
     key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(toxic, key == toxic["bad"], "left_anti")

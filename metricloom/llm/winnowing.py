@@ -173,6 +173,9 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
 
 
 def clean(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark window, with all their columns."""
+    """The rows of ``docs`` whose text holds no benchmark window, with all their columns.
+
+    Equal texts go together, whatever their ids; null and empty texts stay; an empty table gives no rows.
+    """
     bad = contamination(docs, items, span, gram).where("n_hit > 0").select(F.col("key").alias("bad")).distinct()
     return docs.join(bad, text_key(docs) == bad["bad"], "left_anti")
