@@ -1,5 +1,7 @@
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -99,13 +101,57 @@ def test_languages_beyond_a_block_are_predicted(spark):
     rows = [(i, sentences(lang := ["en", "en", "de", "de", "fr"][i % 5], rng, 20), lang) for i in range(200)]
     docs = documents(spark, rows)
     got = rows_of(language.predictions(docs, languages=2))
-    assert {r[1] for r in got} == {"en", "de", "fr"} and got == rows_of(language.predictions(docs))
+    whole = rows_of(language.predictions(docs))
+    assert {r[1] for r in got} == {"en", "de", "fr"} and [r[:2] for r in got] == [r[:2] for r in whole]
+    assert np.allclose([r[2] for r in got], [r[2] for r in whole], rtol=1e-9)
     assert rows_of(language.gram_counts(docs, 1)) == rows_of(language.gram_counts(docs))
 
 
+def test_posteriors_match_a_plain_version(spark):
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choices("aábc d", k=rng.randint(1, 9))), rng.choice(["x", "y", "z"])) for i in range(60)]
+    grams = {i: _plain_grams(t) for i, t, _ in rows}
+    learned = [(i, lang) for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    counts = {lang: np.zeros(1 << language.BITS) + language.SMOOTHING for lang in "xyz"}
+    for i, lang in learned:
+        np.add.at(counts[lang], grams[i], 1)
+    got = {r["doc_id"]: r for r in language.predictions(documents(spark, rows), languages=2).collect()}
+    for i, text, _ in rows:
+        if any(c.isalpha() for c in text):
+            logs = {lang: np.log(sum(x == lang for _, x in learned) / len(learned)) + np.log(own[grams[i]] / own.sum()).sum()
+                    for lang, own in counts.items()}
+            sums = {lang: np.exp(v - max(logs.values())) for lang, v in logs.items()}
+            assert got[i]["lang_pred"] == max(sums, key=sums.get)
+            assert abs(got[i]["score"] - max(sums.values()) / sum(sums.values())) < 1e-4
+
+
+def _plain_grams(text):
+    """Buckets of the n-grams of one text, gathered place by place."""
+    codes = [0, *[ord(c.lower()) if c.isalnum() else 0 for c in text], 0]
+    out = []
+    for n in language.SIZES:
+        for at in range(len(codes) - n + 1):
+            own = codes[at:at + n]
+            inside = own[1:-1] if n > 2 else own
+            if (all(inside) if n > 2 else any(inside)):
+                value = 0
+                for c in own:
+                    value = (value * int(language.C.STEP) + c + 1) % (1 << 64)
+                out.append(int(language.S.mixed(np.array([value + n], np.uint64))[0]) >> (64 - language.BITS))
+    return out
+
+
+def test_many_languages_take_the_memory_of_a_block(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(prose(rng, 4)), f"l{i % 500:04d}") for i in range(1500)]
+    held = [m.nbytes for _, m in language.learned(documents(spark, rows), languages=64)]
+    assert len(held) == 8 and max(held) <= 64 * ((1 << language.BITS) + 1) * 4
+    got = language.predictions(documents(spark, rows), languages=64).collect()
+    assert len(got) == 1500 and len({r["lang_pred"] for r in got}) > 100
+
+
 def test_naive_bayes_counts_match_a_plain_version(spark):
     rows = [(0, "aba ab", "x"), (2, "b", "y"), (4, "abab", "x")]
-    assert all(zlib.crc32(str(i).encode()) % 3 != 1 for i in (0, 2, 4)) or True
     counted = {(r["lang"], r["bucket"]): r["n"] for r in language.gram_counts(documents(spark, rows)).collect()}
     assert counted[("x", -1)] == 2 and counted[("y", -1)] == 1
     # one character: 1 gram, 2 pairs with a blank, 1 triple with two
@@ -162,3 +208,63 @@ def test_resampling_of_odd_and_empty_tables(spark):
     assert all(r["log_weight"] is None and not r["kept"] for r in got if r["doc_id"] in (1, 2, 3))
     assert resampling.resample(documents(spark, []), labels(spark, marks)).count() == 0
     assert resampling.resample(documents(spark, [(1, None)]), labels(spark, marks)).collect()[0]["kept"] is False
+
+
+def test_log_weights_match_a_plain_version(spark):
+    rng = random.Random(21)
+    few = prose(rng, 12) + ["É漢", "x9"]
+    rows = [(i, "".join(rng.choice(few) + rng.choice([" ", ", ", "--", "\n", "."]) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    marks = [(i, i % 2, 0) for i in range(0, 60, 3)]
+
+    def buckets(text):
+        tokens = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", text.lower())
+        one = [int(resampling._buckets(pa.array([t]))[0][0]) for t in tokens]
+        two = [int(resampling._buckets(pa.array([f"{a} {b}"]))[0][2]) for a, b in zip(tokens, tokens[1:])]
+        return one + two
+
+    every, wanted = Counter(), Counter()
+    for i, text in rows:
+        every.update(buckets(text))
+        if (i, 1, 0) in marks:
+            wanted.update(buckets(text))
+    n = 1 << resampling.BITS
+
+    def weight(text):
+        return sum(np.log((wanted[b] + 1) / (sum(wanted.values()) + n)) - np.log((every[b] + 1) / (sum(every.values()) + n))
+                   for b in buckets(text))
+
+    got = {r["doc_id"]: r for r in resampling.importance(documents(spark, rows), labels(spark, marks)).collect()}
+    for i, text in rows:
+        assert got[i]["n_tokens"] == len(buckets(text))
+        assert (got[i]["log_weight"] is None) == (not buckets(text))
+        if buckets(text):
+            assert abs(got[i]["log_weight"] - weight(text)) < 1e-9
+
+
+def test_toxicity_scores_match_a_plain_version():
+    rng = np.random.default_rng(5)
+    weights, bias = rng.normal(0, 1, 1 << toxicity.BITS).astype(np.float32), -1.25
+    words = prose(random.Random(6), 40) + ["a", "É", "x1"]
+    texts = [" ".join(random.Random(i).choices(words, k=k)) for i, k in enumerate([1, 2, 8, 9, 17, 60])] + ["", "...", "a.b,c"]
+
+    def grams(word):
+        codes, out = [0, *[ord(c.lower()) for c in word], 0], []
+        for n in toxicity.SIZES:
+            for at in range(len(codes) - n + 1):
+                value = 0
+                for c in codes[at:at + n]:
+                    value = (value * int(chargrams.STEP) + c + 1) % (1 << 64)
+                out.append(int(chargrams.mixed(np.array([value + n], np.uint64))[0]) >> (64 - toxicity.BITS))
+        return out
+
+    def plain(text):
+        own = re.findall(r"[a-z0-9É]+", text, re.IGNORECASE)
+        if not own:
+            return 0.0
+        means = [np.mean([float(weights[b]) for b in grams(w)]) if len(w) else 0.0 for w in own]
+        passages = [np.mean(means[i:i + toxicity.PASSAGE]) for i in range(0, len(means), toxicity.PASSAGE)]
+        odds = np.log(np.exp(passages).sum()) + bias
+        return 1 / (1 + np.exp(-odds))
+
+    got = toxicity.score(pa.array(texts), weights, bias)
+    assert np.allclose(got, [plain(t) for t in texts], atol=1e-9)
