@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from metricloom.session import literal_table, settle
 
 TARGET_ROWS_PER_FILE = 5_000_000
+# items of a sketch that is built by parts: an HLL sketch of so few keeps a hash of each (one pair of items in 200 million
+# shares one), a theta sketch holds 4,096
+PART_ITEMS = 64
 
 
 def in_interval(rows: DataFrame, ts: str, start: str, end: str) -> DataFrame:
@@ -39,6 +42,15 @@ def top_n_per_bucket(rows: DataFrame, ts: str, period: str, dimension: str, meas
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= threshold)
 
 
+def item_part(rows: DataFrame, item: str, held: int = PART_ITEMS) -> Column:
+    """The part that an item is sketched in: so many parts that each holds about ``held`` items of ``rows``.
+
+    A sketch of few items holds them all, so the parts' estimates are counts and add up to the count of all items.
+    """
+    items = rows.agg(F.approx_count_distinct(item)).first()[0]
+    return F.pmod(F.xxhash64(item), F.lit(max(1, -(-items // held))))
+
+
 def sketches(rows: DataFrame, keys: list[str], item: str, value: str) -> DataFrame:
     """Mergeable distinct and quantile sketches per key: store these, union them later."""
     return rows.groupBy(*keys).agg(

@@ -1,15 +1,17 @@
 import datetime
 import glob
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from metricloom import session
+from metricloom import plans, session
 from metricloom.operators import health as H
 from metricloom.operators import lookups as K
 from metricloom.operators import olap as O
 from metricloom.operators.retention import Rule
 from metricloom.sources import formats, tables
+from tests.compare import difference
 
 
 @pytest.mark.parametrize("format", ["parquet", "orc", "json", "csv"])
@@ -145,3 +147,15 @@ def test_estimates_of_many_values_are_close(spark):
     merged = O.merge_sketches(O.sketches(rows.withColumn("kind", F.lit("x")), ["kind", "part"], "user", "value"), ["kind"])
     got = merged.select(F.hll_sketch_estimate("hll"), F.theta_sketch_estimate("theta")).first()
     assert all(abs(x - 100_000) < 5_000 for x in got)
+
+
+@pytest.mark.parametrize("name", ["sketch_estimates"])
+def test_sketches_of_many_users_hold_them_all(spark, tmp_path, name):
+    n = F.col("id")
+    spark.range(60_000).select(
+        n.alias("event_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=(n % 29).cast("int"))).alias("ts"),
+        (n % 24_000).alias("user_id"), F.when(n % 3 == 0, "a").otherwise("b").alias("event_type"), (n % 100).cast("double").alias("value"),
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert difference(plans.queries()[name](spark, str(tmp_path)), con, plans.statements()[name]) is None
