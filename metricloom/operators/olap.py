@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from metricloom.session import literal_table, settle
 
 TARGET_ROWS_PER_FILE = 5_000_000
+# rows that one task sorts to write them
+TASK_ROWS = 1_000_000
 # items of a sketch that is built by parts: an HLL sketch of so few keeps a hash of each (one pair of items in 200 million
 # shares one), a theta sketch holds 4,096
 PART_ITEMS = 64
@@ -75,19 +77,36 @@ def rollup_table(rows: DataFrame, ts: str, granularity: str, dims: list[str], va
 
 
 def write_segments(rows: DataFrame, path: str, partition: str, sort: list[str] | None = None,
-                   rows_per_file: int = TARGET_ROWS_PER_FILE, mode: str = "overwrite") -> None:
-    """Partitioned parquet whose files stay near a target size.
+                   rows_per_file: int = TARGET_ROWS_PER_FILE, mode: str = "overwrite", task_rows: int = TASK_ROWS) -> None:
+    """Partitioned parquet whose files hold at most ``rows_per_file`` rows.
 
-    Rebalancing on the partition column lets Spark split a partition holding a third of the
-    rows and join small ones, which hashing on the column alone would not.
+    A small table is rebalanced on the partition column, which lets Spark split a partition holding a
+    third of the rows and join small ones; a larger one is dealt by counted rows. So no task sorts
+    more than about ``task_rows`` of them, however large the table and however well it compresses.
     """
-    laid_out = rows.hint("rebalance", partition)
+    laid_out = _laid_out(rows, partition, task_rows)
     if sort:
         laid_out = laid_out.sortWithinPartitions(partition, *sort)
     writer = laid_out.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def _laid_out(rows: DataFrame, partition: str, task_rows: int) -> DataFrame:
+    """Rows of one partition side by side, cut into tasks of equal size as if they were numbered in that order.
+
+    The partitions' sizes, one small row each, are added up; a row takes a place among its partition's by a hash of where it was read.
+    """
+    sizes = settle(rows.groupBy(partition).agg(F.count(F.lit(1)).alias("__n")), "partition-sizes")
+    total = sizes.agg(F.sum("__n")).first()[0] or 0
+    if total <= task_rows:
+        return rows.hint("rebalance", partition)
+    earlier = W.orderBy("__value").rowsBetween(W.unboundedPreceding, -1)
+    begun = sizes.select(F.col(partition).alias("__value"), "__n").withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    placed = rows.withColumn("__read", F.monotonically_increasing_id()).join(begun, F.col(partition).eqNullSafe(F.col("__value")))
+    task = (F.col("__before") + F.pmod(F.xxhash64("__read"), F.col("__n"))) / task_rows
+    return placed.repartitionById(-(-total // task_rows), F.floor(task).cast("int")).select(*rows.columns)
+
+
 def overwrite_interval(replacement: DataFrame, path: str, partition: str) -> None:
     """Replace just the partitions present in ``replacement``; all others stay."""
     write_segments(replacement, path, partition)

@@ -159,3 +159,18 @@ def test_sketches_of_many_users_hold_them_all(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     assert difference(plans.queries()[name](spark, str(tmp_path)), con, plans.statements()[name]) is None
+
+
+def test_tasks_write_no_more_rows_than_they_may(spark, tmp_path):
+    n = F.col("id")
+    day = F.when(n % 3 == 0, "hot").when(n % 1000 == 1, F.lit(None)).otherwise(F.concat(F.lit("d"), (n % 40).cast("string")))
+    rows = spark.range(60_000).select(n, day.alias("day"), F.lit(0).alias("same"))
+    O.write_segments(rows, f"{tmp_path}/t", "day", task_rows=5_000)
+    back = spark.read.parquet(f"{tmp_path}/t")
+    assert back.count() == 60_000 and back.select(*rows.columns).exceptAll(rows).isEmpty()
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"part-(\d+)-", 1)
+    tasks = [r["n"] for r in back.groupBy(name).agg(F.count("*").alias("n")).collect()]
+    # one hash spreads a partition over its tasks, so they are near 5,000 but not just that
+    assert len(tasks) == 12 and max(tasks) < 5_600
+    # only a partition that a border of two tasks cuts has two files more than it needs
+    assert len(glob.glob(f"{tmp_path}/t/day=hot/*.parquet")) <= 6
