@@ -174,3 +174,14 @@ def test_tasks_write_no_more_rows_than_they_may(spark, tmp_path):
     assert len(tasks) == 12 and max(tasks) < 5_600
     # only a partition that a border of two tasks cuts has two files more than it needs
     assert len(glob.glob(f"{tmp_path}/t/day=hot/*.parquet")) <= 6
+
+
+@pytest.mark.parametrize("name, key", [("host_measures", "instance")])
+def test_rows_are_dealt_before_they_become_many(spark, folder, name, key):
+    plan = plans.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1]
+    lines = plan.splitlines()
+    deals = [i for i, line in enumerate(lines) if f"Exchange hashpartitioning({key}" in line]
+    assert len(deals) == 1 and "REPARTITION_BY_NUM" in lines[deals[0]]
+    # both counts and what makes the rows many stand above the one exchange
+    assert all(max(i for i, line in enumerate(lines[:deals[0]]) if word in line) >= 0 for word in ("HashAggregate", "Generate"))
+    assert sum("HashAggregate" in line for line in lines[:deals[0]]) == 2
