@@ -10,7 +10,7 @@ from metricloom.operators import access as A
 from metricloom.operators import setops as S
 from metricloom.plans.registry import query
 from metricloom.plans.views import sql
-from metricloom.session import literal_table
+from metricloom.session import dealt, literal_table, settle
 from metricloom.sources import tables
 
 
@@ -31,12 +31,17 @@ def claim_groups(spark, folder):
     return people.select("principal", F.array_join(groups, "|").alias("groups"))
 
 
+# principals whose permissions one task counts
+PRINCIPALS = 100_000
+
+
 @query("J3 X2", sql("claimed_groups group_roles permissions", """
 SELECT c.principal, p.resource_type, p.action, count(*) AS permissions
 FROM claimed_groups c JOIN group_roles g USING ("group") JOIN permissions p ON p.role = g.role GROUP BY 1, 2, 3"""))
 def permission_bag(spark, folder):
-    people = tables.principals(spark, folder)
-    bag = A.permissions(people, tables.group_roles(spark, folder), role_permissions(spark))
+    # every principal is a group of its own; the few groups are settled, so that no join deals the principals anew
+    people = dealt(tables.principals(spark, folder), ["principal"], PRINCIPALS)
+    bag = A.permissions(people, settle(tables.group_roles(spark, folder), "group-roles"), role_permissions(spark))
     return bag.groupBy("principal", "resource_type", "action").agg(F.count(F.lit(1)).alias("permissions"))
 
 

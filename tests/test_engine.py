@@ -176,7 +176,7 @@ def test_tasks_write_no_more_rows_than_they_may(spark, tmp_path):
     assert len(glob.glob(f"{tmp_path}/t/day=hot/*.parquet")) <= 6
 
 
-@pytest.mark.parametrize("name, key", [("host_measures", "instance")])
+@pytest.mark.parametrize("name, key", [("host_measures", "instance"), ("permission_bag", "principal")])
 def test_rows_are_dealt_before_they_become_many(spark, folder, name, key):
     plan = plans.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1]
     lines = plan.splitlines()
