@@ -116,27 +116,24 @@ def flush_datums(events: DataFrame, path: str, checkpoint: str, settings: Emitte
             flush_one(batch, epoch)
 
     def flush_one(batch: DataFrame, epoch: int) -> None:
-        parsed = batch.persist()
-        sizes = N.datums(parsed, settings).withColumns({"size": size, "flush": F.window("ts", flush)["start"]})
-        datums = sizes.persist()
-        try:
-            decided = stored(B.admit(
-                datums, ["queue", "service", "flush"], ["ts", "event_id"], time_block(F.col("ts"), block),
-                bound=bound,
-            ), "decided")
-            unusable = N.dispatch(parsed).where("route in ('invalid', 'fatal')").select("ts", "route", F.lit(False).alias("lost"))
-            offered = decided.select("ts", F.col("queue").alias("route"), (~F.col("admitted")).alias("lost"))
-            B.loss_counters(unusable.unionByName(offered), loss_period).write.mode("overwrite").parquet(
-                f"{path}/losses/epoch={epoch}")
-            admitted = decided.where("admitted")
-            requests = B.request_batches(admitted.drop("flush", "admitted"), flush, block, batch_size)
-            requests.write.mode("overwrite").parquet(f"{path}/requests/epoch={epoch}")
-            statsd = N.statsd_rows(parsed, settings).select(
-                "event_id", "metric", "rollup_kind", "value", "dims", "tags", "host_tag")
-            statsd.write.mode("overwrite").parquet(f"{path}/statsd/epoch={epoch}")
-        finally:
-            datums.unpersist()
-            parsed.unpersist()
+        # stored and not kept in memory: what reads them again takes only the columns and splits it needs, however many rows
+        # a file of the stream brought
+        parsed = stored(batch, "parsed")
+        datums = stored(N.datums(parsed, settings).withColumns({"size": size, "flush": F.window("ts", flush)["start"]}), "datums")
+        decided = stored(B.admit(
+            datums, ["queue", "service", "flush"], ["ts", "event_id"], time_block(F.col("ts"), block),
+            bound=bound,
+        ), "decided")
+        unusable = N.dispatch(parsed).where("route in ('invalid', 'fatal')").select("ts", "route", F.lit(False).alias("lost"))
+        offered = decided.select("ts", F.col("queue").alias("route"), (~F.col("admitted")).alias("lost"))
+        B.loss_counters(unusable.unionByName(offered), loss_period).write.mode("overwrite").parquet(
+            f"{path}/losses/epoch={epoch}")
+        admitted = decided.where("admitted")
+        requests = B.request_batches(admitted.drop("flush", "admitted"), flush, block, batch_size)
+        requests.write.mode("overwrite").parquet(f"{path}/requests/epoch={epoch}")
+        statsd = N.statsd_rows(parsed, settings).select(
+            "event_id", "metric", "rollup_kind", "value", "dims", "tags", "host_tag")
+        statsd.write.mode("overwrite").parquet(f"{path}/statsd/epoch={epoch}")
 
     return start_batches(events, write, checkpoint, trigger or {"processingTime": flush})
 

@@ -167,3 +167,16 @@ def test_an_epoch_leaves_no_tables_behind(spark, tmp_path):
         stream(spark, tmp_path / "in", EVENT_SCHEMA), f"{tmp_path}/out", f"{tmp_path}/ck", EmitterSettings(),
         F.lit(10).cast("bigint"), trigger={"availableNow": True}).awaitTermination()
     assert {p.name for p in scratch.iterdir()} == before
+
+
+def test_a_flush_keeps_no_rows_in_memory(spark, tmp_path, monkeypatch):
+    def kept(frame, *_):
+        raise AssertionError("a task would read all of what an input file became")
+
+    rows = [(i, "metric", T0 + datetime.timedelta(seconds=i), "svc", "h", "query/time", 1.0, None, None, []) for i in range(5)]
+    put(spark, tmp_path / "in", "a", rows, EVENT_SCHEMA)
+    monkeypatch.setattr(type(spark.range(1)), "persist", kept)
+    J.flush_datums(
+        stream(spark, tmp_path / "in", EVENT_SCHEMA), f"{tmp_path}/out", f"{tmp_path}/ck", EmitterSettings(),
+        F.lit(10).cast("bigint"), trigger={"availableNow": True}).awaitTermination()
+    assert J.read_epochs(spark, f"{tmp_path}/out/requests").count() == 5
