@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from metricloom.operators import batching as B
 from metricloom.operators import logs as L
 from metricloom.operators.prefix import running
-from metricloom.session import discard, stored, temporary_tables
+from metricloom.session import discard, settle, stored, temporary_tables
 from metricloom.streaming.jobs import start_batches
 
 
@@ -34,6 +34,14 @@ def _forget(batch: DataFrame, path: str, names: tuple[str, ...], epoch: int) ->
             discard(batch.sparkSession, f"{path}/{name}/epoch={epoch - 2}")
 
 
+def _begun_since(rows: DataFrame, unclosed: DataFrame, keys: list[str], order: str, ts: str, oldest: Column) -> DataFrame:
+    """(keys, first) of the unclosed messages whose first line isn't older. There is one for each key at most, settled first, so
+    that few meet the lines where these lie."""
+    few = settle(unclosed.select(*keys, "first"), "unclosed")
+    begun = rows.select(*keys, F.col(order).alias("first"), F.col(ts).alias("__begun"))
+    return begun.join(few, [*keys, "first"]).where(F.col("__begun") >= oldest).select(*keys, "first")
+
+
 def join_messages(lines: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, ts: str, block: Column,
                   hold: str = "5 minutes", flag: str = "logtag", text: str = "log", most_parts: int = L.MESSAGE_PARTS,
                   coarser=None, trigger: dict | None = None) -> StreamingQuery:
@@ -55,12 +63,10 @@ def join_messages(lines: DataFrame, path: str, checkpoint: str, keys: list[str],
             known = [t for t in (clock, seen.first()[0] if seen is not None else None) if t is not None]
             clock = max(known) if known else None
             messages = stored(L.join_partial_lines(rows, keys, order, block, flag, text, coarser, most_parts), "messages")
-            begun = rows.select(*keys, F.col(order).alias("first"), F.col(ts).alias("__begun"))
-            waiting = messages.where(~F.col("complete") & (F.col("piece") == 0) & (F.col("parts") < most_parts)).select(
-                *keys, "first").join(begun, [*keys, "first"]).where(
-                F.col("__begun") >= F.lit(clock).cast("timestamp_ntz") - F.expr(f"INTERVAL {hold}"))
             # a message of very many lines has open pieces before its last; none of them waits
-            waiting = stored(waiting.select(*keys, "first"), "waiting")
+            unclosed = messages.where(~F.col("complete") & (F.col("piece") == 0) & (F.col("parts") < most_parts))
+            oldest = F.lit(clock).cast("timestamp_ntz") - F.expr(f"INTERVAL {hold}")
+            waiting = stored(_begun_since(rows, unclosed, keys, order, ts, oldest), "waiting")
             done = messages.join(waiting, [*keys, "first"], "left_anti").drop("message_no")
             _leave(done, path, "messages", epoch)
             held = rows.join(waiting.withColumnRenamed("first", "__first"), keys).where(F.col(order) >= F.col("__first"))

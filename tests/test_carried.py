@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from metricloom import session
 from metricloom.operators import health as H
 from metricloom.operators import logs as L
+from metricloom.operators.olap import query_context
 from metricloom.operators.prefix import number_block
 from metricloom.streaming import carried as C
 from metricloom.streaming import jobs as J
@@ -132,3 +134,16 @@ def test_a_topic_is_read_once_from_the_offsets_on(spark, tmp_path):
     assert got == [(0, 0, "a"), (0, 1, "b"), (0, 2, "c"), (1, 6, "y"), (1, 7, "z"), (2, 9, "n"), (2, 12, "m")]
     progress = spark.read.parquet(f"{tmp_path}/out/progress").where("epoch = 2").collect()
     assert {r["partition"]: r["next"] for r in progress} == {0: 3, 1: 8, 2: 13}
+
+
+def test_unclosed_messages_meet_the_lines_where_these_lie(spark):
+    late = F.lit(at(300)).cast("timestamp_ntz")
+    rows = session.stored(spark.range(20_000).select(
+        (F.col("id") % 50).alias("k"), "id", F.when(F.col("id") < 19_975, F.lit(T0)).otherwise(F.lit(at(300))).cast("timestamp_ntz").alias("ts")), "lines")
+    messages = session.stored(rows.select("k", F.col("id").alias("first"), (F.col("id") < 19_950).alias("complete"), F.md5(
+        F.col("id").cast("string")).alias("message")), "messages")
+    with query_context(spark, spark__sql__autoBroadcastJoinThreshold=50_000):
+        waiting = C._begun_since(rows, messages.where("not complete"), ["k"], "id", "ts", late)
+        plan = waiting._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        assert sorted(tuple(r) for r in waiting.collect()) == [(i % 50, i) for i in range(19_975, 20_000)]
